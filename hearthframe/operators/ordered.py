@@ -44,26 +44,25 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     """keys, ``v`` (distinct value), ``w``, ``upto`` (running weight), ``total``."""
     keys = list(keys)
     mass = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    base = df.filter(F.col(value).isNotNull())
-    synthetic = not keys
-    if synthetic:
-        base, keys = base.withColumn("__all", F.lit(1)), ["__all"]
+    # A struct compares equal field by field, NULLs included, so one packed key
+    # serves the aggregates, the window and the join without extra exchanges.
+    packed = F.struct(*keys) if keys else F.lit(1)
     cells = (
-        base.withColumn("__b", value_bucket(F.col(value), resolution))
-        .groupBy(*keys, "__b", F.col(value).alias("v")).agg(mass.alias("w"))
+        df.filter(F.col(value).isNotNull())
+        .select(packed.alias("__k"), value_bucket(F.col(value), resolution).alias("__b"), F.col(value).alias("v"),
+                *([] if weight is None else [weight.alias("__m")]))
+        .groupBy("__k", "__b", "v").agg((mass if weight is None else F.sum("__m")).alias("w"))
     )
-    by_bucket = cells.groupBy(*keys, "__b").agg(F.sum("w").alias("__bw"))
-    per_key = Window.partitionBy(*keys)
+    by_bucket = cells.groupBy("__k", "__b").agg(F.sum("w").alias("__bw"))
+    per_key = Window.partitionBy("__k")
     running = per_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = by_bucket.select(
-        *keys, "__b",
-        (F.sum("__bw").over(running) - F.col("__bw")).alias("__before"),
-        F.sum("__bw").over(per_key).alias("total"),
-    )
-    inside = Window.partitionBy(*keys, "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        "__k", "__b", (F.sum("__bw").over(running) - F.col("__bw")).alias("__before"),
+        F.sum("__bw").over(per_key).alias("total"))
+    inside = Window.partitionBy("__k", "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ran = cells.withColumn("__in", F.sum("w").over(inside))
-    out = null_safe_join(ran, offsets, [*keys, "__b"]).withColumn("upto", F.col("__before") + F.col("__in"))
-    return out.select(*([] if synthetic else keys), "v", "w", "upto", "total")
+    out = ran.join(offsets, ["__k", "__b"]).withColumn("upto", F.col("__before") + F.col("__in"))
+    return out.select(*[F.col(f"__k.{k}").alias(k) for k in keys], "v", "w", "upto", "total")
 
 
 def _pick(cells: DataFrame, keys: Sequence[str], wanted: list[tuple[str, Column]], count_as: str | None) -> DataFrame:
@@ -109,19 +108,23 @@ def finite_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict
     return _pick(cells, keys, wanted, count_as)
 
 
-def step_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: Column, probs: dict[str, float],
-                   resolution: int = TARGET_RESOLUTION) -> DataFrame:
-    """Weighted step quantile: smallest value whose running weight reaches p x total."""
-    cells = cumulative(df, keys, value, weight, resolution)
-    marks = [
+def step_marks(probs: dict[str, float]) -> list[tuple[str, Column]]:
+    """Marks of the cell where the running weight first reaches p x total."""
+    return [
         (name, (F.col("upto") >= F.col("total") * F.lit(float(p)))
          & (F.col("upto") - F.col("w") < F.col("total") * F.lit(float(p))))
         for name, p in probs.items()
     ]
+
+
+def step_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: Column, probs: dict[str, float],
+                   resolution: int = TARGET_RESOLUTION) -> DataFrame:
+    """Weighted step quantile: smallest value whose running weight reaches p x total."""
+    marks = step_marks(probs)
     anything = marks[0][1]
     for _, mark in marks[1:]:
         anything = anything | mark
-    return cells.filter(anything).groupBy(*keys).agg(
+    return cumulative(df, keys, value, weight, resolution).filter(anything).groupBy(*keys).agg(
         *[F.min(F.when(mark, F.col("v"))).alias(name) for name, mark in marks])
 
 
