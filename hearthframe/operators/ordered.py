@@ -92,7 +92,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     for name, p in probs.items():
         at = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        share = at - F.floor(at)
+        outputs.append((low * (F.lit(1.0) - share) + high * share).alias(name))
     extra = [F.col("__n").alias(count_as)] if count_as else []
     return picked.select(*keys, *outputs, *extra)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "comparables")
+MODULES = ("scalars", "sources", "quality", "joins", "comparables")
 
 
 def load_all() -> None:
