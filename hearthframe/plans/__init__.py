@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "sources", "quality", "joins", "comparables")
+MODULES = ("scalars", "sources", "quality", "joins", "comparables", "stats")
 
 
 def load_all() -> None:

@@ -88,7 +88,7 @@ def grouped_sales(spark, sf):
 
 
 SEQ_SQL = LISTINGS_SQL + """,
-runs AS (SELECT source_site, run_id, row_number() OVER (PARTITION BY source_site ORDER BY max(last_seen), run_id) AS seq FROM listings GROUP BY ALL),
+runs AS (SELECT source_site, run_id, row_number() OVER (PARTITION BY source_site ORDER BY max(last_seen), run_id) AS seq FROM listings GROUP BY source_site, run_id),
 seqd AS (SELECT l.*, seq FROM listings l JOIN runs USING (source_site, run_id)),
 changes AS (SELECT a.source_site, a.run_id, a.listing_id, a.seq AS snapshot_sequence, a.asking_price_sgd, b.asking_price_sgd AS previous_asking_price_sgd,
   a.asking_price_sgd - b.asking_price_sgd AS price_change_sgd, CASE WHEN b.listing_id IS NULL THEN 'new' WHEN a.asking_price_sgd < b.asking_price_sgd THEN 'price_reduced'
