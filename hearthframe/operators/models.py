@@ -34,3 +34,11 @@ def interactions(df: DataFrame, flat_types: list[str]) -> DataFrame:
         out = out.withColumn(f"area_x_{name}", F.when(here, F.coalesce("floor_area_sqm", F.lit(0.0))).otherwise(0.0)) \
             .withColumn(f"lease_x_{name}", F.when(here, F.coalesce("remaining_lease_months", F.lit(0)).cast("double")).otherwise(0.0))
     return out
+
+
+def top_contributions(parts, k: int):
+    """struct(positive, negative): the k largest of each sign of an array<struct<name,value>>."""
+    ordered = F.array_sort(F.transform(parts, lambda x: F.struct((-x["value"]).alias("less"), x["name"].alias("name"), x["value"].alias("value"))))
+    up = F.slice(F.filter(ordered, lambda x: x["value"] > 0), 1, k)
+    down = F.slice(F.reverse(F.filter(ordered, lambda x: x["value"] < 0)), 1, k)
+    return F.struct(up.alias("positive"), down.alias("negative"))

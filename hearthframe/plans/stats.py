@@ -62,12 +62,14 @@ _KEEP = ["model_id", "dataset_split", "predicted_price", "actual_price", "lower_
 
 
 @query("e4_error_by_dimension", f"""WITH {PREDICTIONS_SQL}, {_DIM_SQL}
-SELECT model_id, dataset_split, dimension, grp AS "group", count(*) AS prediction_count, round(avg(abs({_ERR})), 4) AS mae,
-  round(quantile_cont(abs({_ERR}), 0.5), 4) AS median_absolute_error, round(avg({_ERR}), 4) AS mean_bias FROM dims GROUP BY ALL""")
+SELECT model_id, dataset_split, dimension, grp AS "group", count(*) AS prediction_count, round(avg(abs({_ERR})), 8) AS mae,
+  round(quantile_cont(abs({_ERR}), 0.5), 8) AS median_absolute_error, round(avg({_ERR}), 8) AS mean_bias FROM dims GROUP BY ALL""")
 def _e4(spark, sf):
     d = S.stack_dimensions(predictions(spark, sf), _dims(), _KEEP)
     keys = ["model_id", "dataset_split", "dimension", "group"]
-    return rounded(S.evaluation_metrics(d, keys), [*keys, "prediction_count"], ["mae", "median_absolute_error", "mean_bias"])
+    m = S.evaluation_metrics(d, keys)
+    return m.select(*keys, "prediction_count", F.round("mae", 8).alias("mae"), F.round("median_absolute_error", 8).alias("median_absolute_error"),
+                    F.round("mean_bias", 8).alias("mean_bias"))
 
 
 @query("e5_reliability_breakdown", f"""WITH {PREDICTIONS_SQL}, {_DIM_SQL}, ref AS (SELECT avg(abs({_ERR})) AS m FROM predictions WHERE dataset_split='test' AND model_id='MODEL_A')
@@ -168,11 +170,11 @@ def _e17(spark, sf):
 
 
 @query("e18_monthly_trends", f"""WITH {SALES_SQL}
-SELECT transaction_month, town, flat_type, count(*) AS n, round(quantile_cont(resale_price, 0.5), 6) AS median_resale_price, round(quantile_cont(resale_price / floor_area_sqm, 0.5), 6) AS median_unit FROM sales GROUP BY ALL""")
+SELECT transaction_month, town, flat_type, count(*) AS n, round(quantile_cont(resale_price, 0.5), 9) AS median_resale_price, round(quantile_cont(resale_price / floor_area_sqm, 0.5), 9) AS median_unit FROM sales GROUP BY ALL""")
 def _e18(spark, sf):
     s = sales(spark, sf).withColumn("unit", M.unit_price(F.col("resale_price"), F.col("floor_area_sqm")))
     keys = ["transaction_month", "town", "flat_type"]
-    return rounded(S.median_table(s, keys, ["resale_price", "unit"]), [*keys, "n"], ["median_resale_price", "median_unit"], 6)
+    return rounded(S.median_table(s, keys, ["resale_price", "unit"]), [*keys, "n"], ["median_resale_price", "median_unit"], 9)
 
 
 _MEDS = ["resale_price", "floor_area_sqm", "storey_midpoint", "remaining_lease_months", "lease_commence_year"]
