@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "sources", "quality", "joins", "comparables", "stats", "windows", "finance")
+MODULES = ("scalars", "sources", "quality", "joins", "comparables", "stats", "windows", "finance", "market", "models", "streams")
 
 
 def load_all() -> None:

@@ -116,7 +116,7 @@ def _g6(spark, sf):
         ("size", F.col("p_size") - 25.0), ("price", F.col("p_retailprice") - 950), ("key", F.col("p_partkey") % 9 - 4.0))])
     ends = top_contributions(parts, 5)
     zero = F.filter(parts, lambda x: x["value"] == 0)
-    both = F.concat(F.transform(ends["positive"], lambda x: x["name"]), F.transform(zero, lambda x: x["name"]),
+    both = F.concat(F.transform(ends["positive"], lambda x: x["name"]), F.array_sort(F.transform(zero, lambda x: x["name"])),
                     F.reverse(F.transform(ends["negative"], lambda x: x["name"])))
     return p.select("p_partkey", F.array_join(both, ",").alias("ordered"))
 

@@ -1,8 +1,9 @@
 """Result pages arriving over time: validation, merge, progress and price changes.
 
-Each micro-batch is merged by ``foreachBatch`` with ordinary joins against the
-last published version, written to a new folder in the shared directory. A
-batch that is delivered again gives the same rows, so replays are harmless.
+Every micro-batch is reduced to its own partial rows and written to a folder
+named after the batch in the shared directory; the table is the merge of those
+partial rows. A batch costs what it brings, not what is already stored, and a
+batch delivered again overwrites its own folder, so replays change nothing.
 """
 
 from __future__ import annotations
@@ -29,22 +30,17 @@ def payload_reason(sites: list[str]) -> Column:
         (~F.coalesce(cards.between(1, 50), F.lit(False)), "bad_card_count")])
 
 
-class TableVersions:
-    """The newest complete version of a table kept as numbered folders."""
+class BatchLog:
+    """Partial rows of each micro-batch, one folder per batch."""
 
     def __init__(self, spark: SparkSession, name: str, schema: str):
         self.spark, self.root, self.schema = spark, new_path(spark, name), schema
-        self.current: str | None = None
 
-    def read(self) -> DataFrame:
-        if self.current is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.current)
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
-    def publish(self, df: DataFrame, batch_id: int) -> None:
-        path = f"{self.root}/v{batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        self.current = path
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root).drop("batch")
 
 
 def run_to_end(stream: DataFrame, handler, spark: SparkSession, name: str) -> None:
@@ -54,33 +50,35 @@ def run_to_end(stream: DataFrame, handler, spark: SparkSession, name: str) -> No
     q.awaitTermination()
 
 
-LISTING_STATE = ("source_site string, run_id string, listing_id bigint, first_seen timestamp, last_seen timestamp, "
-                 "last_event bigint, asking_price_sgd double, pages array<int>")
+LISTING_STATE = ("source_site string, run_id string, listing_id bigint, first_seen timestamp_ntz, last_seen timestamp_ntz, "
+                 "last_event bigint, asking_price_sgd double, pages_seen array<int>")
 
 
-def merge_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Pages united, first sight kept, the latest card's price wins; order-free and idempotent."""
-    fresh = batch.groupBy(*KEY).agg(
+def batch_rows(batch: DataFrame) -> DataFrame:
+    """One row per listing key of a micro-batch."""
+    newest = F.struct("observed_at", "event_id")
+    return batch.groupBy(*KEY).agg(
         F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"),
-        F.max_by("event_id", F.struct("observed_at", "event_id")).alias("last_event"),
-        F.max_by("asking_price_sgd", F.struct("observed_at", "event_id")).alias("asking_price_sgd"),
-        F.array_sort(F.collect_set("page_number")).alias("pages"))
-    both = state.unionByName(fresh)
+        F.max_by("event_id", newest).alias("last_event"), F.max_by("asking_price_sgd", newest).alias("asking_price_sgd"),
+        F.array_sort(F.collect_set("page_number")).alias("pages_seen"))
+
+
+def merge_rows(rows: DataFrame) -> DataFrame:
+    """Pages united, first sight kept, the latest card's price wins; order-free and idempotent."""
     newest = F.struct("last_seen", "last_event")
-    return both.groupBy(*KEY).agg(
+    pages = rows.select(*KEY, F.explode("pages_seen").alias("page")).distinct() \
+        .groupBy(*KEY).agg(F.array_sort(F.collect_set("page")).alias("pages_seen"))
+    merged = rows.groupBy(*KEY).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.max_by("last_event", newest).alias("last_event"), F.max_by("asking_price_sgd", newest).alias("asking_price_sgd"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+        F.max_by("asking_price_sgd", newest).alias("asking_price_sgd"))
+    return merged.join(pages, KEY)
 
 
 def ingest_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Stream of observations to merged listing rows."""
-    table = TableVersions(spark, "listing-state", LISTING_STATE)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        table.publish(merge_batch(table.read(), batch), batch_id)
-    run_to_end(stream, handle, spark, "listing-ingest")
-    return table.read()
+    log = BatchLog(spark, "listing-log", LISTING_STATE)
+    run_to_end(stream, lambda batch, batch_id: log.write(batch_rows(batch), batch_id), spark, "listing-ingest")
+    return merge_rows(log.read())
 
 
 PROGRESS = "source_site string, run_id string, page_number int, listing_id bigint"
@@ -88,14 +86,11 @@ PROGRESS = "source_site string, run_id string, page_number int, listing_id bigin
 
 def progress_stream(stream: DataFrame, spark: SparkSession, expected_pages: int) -> DataFrame:
     """Saved pages, missing pages and distinct listings of every run seen so far."""
-    table = TableVersions(spark, "progress-state", PROGRESS)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        pairs = batch.select("source_site", "run_id", "page_number", "listing_id")
-        table.publish(table.read().unionByName(pairs).distinct(), batch_id)
-    run_to_end(stream, handle, spark, "progress")
+    log = BatchLog(spark, "progress-log", PROGRESS)
+    columns = ["source_site", "run_id", "page_number", "listing_id"]
+    run_to_end(stream, lambda batch, batch_id: log.write(batch.select(*columns).distinct(), batch_id), spark, "progress")
     run = ["source_site", "run_id"]
-    seen = table.read()
+    seen = log.read()
     pages = seen.groupBy(*run).agg(F.array_sort(F.collect_set("page_number")).alias("saved"))
     ids = seen.select(*run, "listing_id").distinct().groupBy(*run).agg(F.count(F.lit(1)).alias("unique_listing_ids"))
     missing = F.array_except(F.sequence(F.lit(1), F.lit(expected_pages)), F.col("saved"))
@@ -105,6 +100,6 @@ def progress_stream(stream: DataFrame, spark: SparkSession, expected_pages: int)
 
 
 def change_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Listing state kept up to date per batch; the run-to-run difference is the batch operator on it."""
+    """Listings kept up to date by the stream; each run is compared with the run before it."""
     from hearthframe.operators.snapshots import snapshot_changes
     return snapshot_changes(ingest_stream(stream, spark))
