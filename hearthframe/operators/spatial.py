@@ -74,17 +74,31 @@ def pivot_categories(found: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def nearest_town(requests: DataFrame, sales: DataFrame) -> DataFrame:
-    """Per request, the town selling its flat type whose nearest sale is closest, then with most sales.
+    """Per request, the town selling its flat type whose nearest sale is closest in squared degrees,
+    then the one with most sales, then the first by name.
 
-    Sales are reduced to (type, town, coordinates) before they meet requests; what is
-    compared is a request with the places of one type, not with its sales.
+    Requests meet places through the same widening grid as facilities; a request
+    without coordinates gets the town with most sales of its type.
     """
-    places = sales.groupBy("flat_type", "town", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
-    dlat = F.col("s_lat") - F.col("latitude")
-    dlon = F.col("s_lon") - F.col("longitude")
-    spots = places.select("flat_type", F.col("town").alias("near_town"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), "n")
-    by_town = requests.join(spots, "flat_type").groupBy("request_id", "near_town").agg(
-        F.min(dlat * dlat + dlon * dlon).alias("d2"), F.sum("n").alias("sales"))
-    order = F.struct(F.col("d2").isNull().alias("a"), F.col("d2").alias("b"), (-F.col("sales")).alias("c"), F.col("near_town").alias("d"))
-    return by_town.groupBy("request_id").agg(F.min_by(F.struct("near_town", "sales"), order).alias("x")) \
-        .select("request_id", F.col("x.near_town").alias("town"), F.col("x.sales").alias("sales"))
+    kind = ["flat_type"]
+    totals = sales.groupBy(*kind, "town").agg(F.count(F.lit(1)).alias("sales"))
+    spots = sales.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(*kind, "town", "latitude", "longitude").distinct()
+    places = materialise(spots.join(totals, [*kind, "town"]), "town-places")
+    open_ = requests.select("request_id", *kind, "latitude", "longitude")
+    blind = open_.filter("latitude IS NULL OR longitude IS NULL").join(totals, kind).groupBy("request_id").agg(
+        F.min_by(F.struct("town", "sales"), F.struct((-F.col("sales")).alias("a"), F.col("town").alias("b"))).alias("x"))
+    open_ = open_.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    settled = blind.select("request_id", "x")
+    for i, size in enumerate(LEVELS):
+        side = _cell(places, size).select(*kind, "cy", "cx", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "town", "sales")
+        dlat, dlon = F.col("t_lat") - F.col("latitude"), F.col("t_lon") - F.col("longitude")
+        order = F.struct(F.col("d2").alias("a"), (-F.col("sales")).alias("b"), F.col("town").alias("c"))
+        found = _around(open_, size).join(side, [*kind, "cy", "cx"]).withColumn("d2", dlat * dlat + dlon * dlon) \
+            .groupBy("request_id").agg(F.min("d2").alias("d2"), F.min_by(F.struct("town", "sales"), order).alias("x"))
+        state = open_.join(found, "request_id", "left")
+        last = i == len(LEVELS) - 1
+        state = state if last else materialise(state, f"town-{i}")
+        done = F.col("x").isNotNull() if last else F.coalesce(F.col("d2") <= size * size, F.lit(False))
+        settled = settled.unionByName(state.filter(done).select("request_id", "x"))
+        open_ = state.filter(~done).select("request_id", *kind, "latitude", "longitude")
+    return settled.select("request_id", F.col("x.town").alias("town"), F.col("x.sales").alias("sales"))
