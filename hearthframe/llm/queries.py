@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, toxicity
+from . import edits, language, pieces, pii, toxicity
 from .base import table
 
+#: Folder of the public vocabulary files, read on the driver only.
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +20,25 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text of documents, and whether they decode to it."""
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), pieces.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text of documents before and after two edits."""
+    docs = edits.own_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edits.count_through_edits(docs, edits.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text of documents."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text of documents."""
