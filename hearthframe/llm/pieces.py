@@ -23,8 +23,14 @@ from .base import clear, send
 
 SPACE = "▁"
 WORD = re.compile(" *[^ ]+| +")
+#: Where the vocabulary keeps Latin letters apart from other characters, paths also converge between them.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+RUN = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +")
+MIXED = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN} ][{LATIN}]")
 #: Open prefixes after which paths are compared, and words remembered in a task.
-OPEN, REMEMBERED = 256, 400_000
+OPEN, REMEMBERED = 256, 600_000
+#: Merges that never come, and the cost from which a piece was added without a rank of its own.
+NEVER, ADDED = float("inf"), 1e8
 
 
 @dataclass
@@ -36,8 +42,9 @@ class PieceModel:
     texts: list
     byte_ids: list
     longest: int
-    unknown: int
+    letters_apart: bool = True          # no piece has a Latin letter next to another character, a space in front aside
     pairs: dict = field(default_factory=dict)
+    spines: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
 
     def merged(self, text: str) -> list[str]:
@@ -53,44 +60,90 @@ class PieceModel:
                 return parts
             parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def neighbours(self, left: str, right: str) -> bool:
-        """Whether two pieces stay apart when their joint text is merged."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= 4 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
+    def edges(self, piece: str) -> tuple[list, list] | None:
+        """The symbols at the left and at the right end of a piece while it is merged: (symbol, made at, used up at).
+
+        None if its merges are not in the order of their ranks (pieces added with one common score).
+        """
+        if piece in self.spines:
+            return self.spines[piece]
+        steps, parts = [], list(piece)
+        while len(parts) > 1:
+            ranked = [(-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.prefixes.get(parts[k] + parts[k + 1], -1)) >= 0]
+            rank, k = min(ranked) if ranked else (NEVER, 0)
+            if steps and rank < steps[-1][0] or rank >= ADDED:
+                self.spines[piece] = None
+                return None
+            steps.append((rank, k, len(parts)))
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+        left, right = [[piece[0], -1.0, NEVER]], [[piece[-1], -1.0, NEVER]]
+        for rank, k, n in steps:
+            if k == 0:
+                left[-1][2] = rank
+                left.append([None, rank, NEVER])
+            if k == n - 2:
+                right[-1][2] = rank
+                right.append([None, rank, NEVER])
+        parts = list(piece)
+        at = [0, 0]
+        for rank, k, n in steps:
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            if k == 0:
+                at[0] += 1
+                left[at[0]][0] = parts[0]
+            if k == n - 2:
+                at[1] += 1
+                right[at[1]][0] = parts[-1]
+        self.spines[piece] = left, right
+        return self.spines[piece]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two pieces stay apart when their joint text is merged: no merge across comes before both its parts are used up."""
+        a, b = self.edges(left), self.edges(right)
+        if a is None or b is None:
+            return self.merged(left + right) == [left, right]
+        get, scores = self.prefixes.get, self.scores
+        for x, made, used in a[1]:
+            for y, made_y, used_y in b[0]:
+                i = get(x + y, -1)
+                if i >= 0:
+                    at = max(-scores[i], made, made_y)
+                    if at < used and at <= used_y:
+                        return False
+        return True
 
     def segment(self, text: str) -> list[str]:
         """Pieces of one text in which ordinary spaces are already escaped."""
-        committed, base = [], 0          # pieces of text[:base]
-        last = {0: ("", 0)}              # prefix end -> (last piece, its start); only of the open window
-        get, n = self.prefixes.get, len(text)
+        committed, base, n = [], 0, len(text)       # committed: pieces of text[:base]
+        last, came = {0: ""}, {}                    # of each prefix in the open window: its last piece, and where that starts
+        get, pairs, longest = self.prefixes.get, self.pairs, self.longest
         for at in range(n):
-            here = last.get(at)
-            if here is None:
-                continue
-            left = here[0]
-            for end in range(at + 1, min(n, at + self.longest) + 1):
+            left = last[at]
+            near = pairs.get(left)
+            if near is None:
+                near = pairs[left] = {}
+            for end in range(at + 1, min(n, at + longest) + 1):
                 piece = text[at:end]
                 found = get(piece)
                 if found is None and end > at + 1:
                     break
-                if (found is not None and found >= 0 or end == at + 1) and end not in last and (not left or self.neighbours(left, piece)):
-                    last[end] = (piece, at)
+                if (end == at + 1 or found >= 0) and end not in last:
+                    good = near.get(piece)
+                    if good is None:
+                        good = near[piece] = not left or self.apart(left, piece)
+                    if good:
+                        last[end], came[end] = piece, at
                 if found is None:
                     break
             if at - base >= OPEN and at % (OPEN // 4) == 0:
-                base = self.commit(last, base, at, committed)
+                base = self.commit(last, came, base, at, committed)
         tail, at = [], n
         while at > base:
-            piece, at = last[at]
-            tail.append(piece)
+            tail.append(last[at])
+            at = came[at]
         return committed + tail[::-1]
 
-    def commit(self, last: dict, base: int, at: int, committed: list) -> int:
+    def commit(self, last: dict, came: dict, base: int, at: int, committed: list) -> int:
         """Move what all surviving paths share to `committed`; the new start of the open window."""
         common = None
         for end in range(max(base + 1, at - self.longest + 1), at + self.longest + 1):
@@ -98,16 +151,18 @@ class PieceModel:
                 path = []
                 while end > base:
                     path.append(end)
-                    end = last[end][1]
-                path = [base, *path[::-1]]
-                common = path if common is None else [p for p, q in zip(common, path) if p == q]
-        if common is None or common[-1] == base:
+                    end = came[end]
+                path.reverse()
+                same = min(len(path), len(path) if common is None else len(common))
+                if common is not None:
+                    same = next((k for k in range(same) if path[k] != common[k]), same)
+                common = path[:same]
+        if not common:
             return base
-        committed += [last[end][0] for end in common[1:]]
-        keep = last[common[-1]][0]
+        committed += [last[end] for end in common]
         for end in [e for e in last if e < common[-1]]:
             del last[end]
-        last[common[-1]] = (keep, common[-1])
+            came.pop(end, None)
         return common[-1]
 
     def ids(self, word: str) -> list[int]:
@@ -128,7 +183,7 @@ class PieceModel:
         """Ids of a whole text; empty for an empty text."""
         out, get = [], self.words.get
         if text:
-            for word in WORD.findall(" " + text):
+            for word in (RUN if self.letters_apart else WORD).findall(" " + text):
                 out += get(word) or self.ids(word)
         return np.array(out, np.int32)
 
@@ -167,7 +222,7 @@ def load_pieces(path: str) -> PieceModel:
                 prefixes.setdefault(text[:k], -1)
             prefixes[text] = i
     return PieceModel(prefixes, [model.get_score(i) for i in range(size)], texts, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)],
-                      longest, model.unk_id())
+                      longest, not any(MIXED.search(t.replace(SPACE, " ")) or " " in t.replace(SPACE, " ").lstrip(" ") for t in texts))
 
 
 def encode_pieces(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -179,7 +234,6 @@ def encode_pieces(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def encoded(batches):
         own = sent()
-        own.pairs, own.words = {}, {}
         for pdf in batches:
             texts = [clear(t) for t in pdf["text"]]
             ids = [own.encode(t) for t in texts]
