@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = re.compile(r"\s")
+SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Long texts are worked on in pieces of about this many characters.
 PIECE = 1 << 20
 

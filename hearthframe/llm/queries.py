@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, language, pieces, pii, toxicity
+from . import edits, language, minmax, pieces, pii, toxicity
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -49,3 +49,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text of documents, learned from labels."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents over two-word shingles."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), words=2)
