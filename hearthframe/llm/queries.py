@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, language, minmax, pieces, pii, toxicity
+from . import decontaminate, edits, language, minmax, pieces, pii, toxicity
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -55,3 +55,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents over two-word shingles."""
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window similar to a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .base import clear, fold, pieces, send
+from .minmax import signatures
+from .shingles import Hasher
 
 WORD = re.compile(r"\w+")
 SHIFT = 21
 UNKNOWN, START = 0, 1
+SKETCHES = 4
 
 
 @dataclass
@@ -81,6 +84,18 @@ def bigram_counts(batches):
                             "n0": [counts[0][b] for b in both], "n1": [counts[1][b] for b in both]})
 
 
+def sketched(batches):
+    """Rows with smallest images of their three-word shingles under some permutations; zeros without words."""
+    hasher = Hasher()
+    for pdf in batches:
+        sets = [hasher.shingles(clear(t), 3) for t in pdf["text"]]
+        full = [k for k, s in enumerate(sets) if len(s)]
+        marks = np.zeros((len(sets), SKETCHES), np.int64)
+        if full:
+            marks[full] = signatures([sets[k] for k in full], SKETCHES, 1).view(np.int64)
+        yield pdf.assign(sketch=list(marks))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
     """Newton steps for a small ridge logistic regression."""
     w = np.zeros(x.shape[1])
@@ -116,15 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
     picked = chosen[0].unionByName(chosen[1]).withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)
     # At most 2 * sample ids, so the broadcast has a fixed bound.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    # Copies of one text would pass for evidence: a row goes if any of four sketches has an earlier row of its class.
-    words = F.split(F.lower("text"), r"\s+")
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 3)))
-    rows = rows.where("text IS NOT NULL").withColumn("triples", triples)
-    for k in range(4):
-        same = Window.partitionBy("toxic", F.array_min(F.transform("triples", lambda x: F.xxhash64(x, F.lit(k)))))
+    # Copies of one text would pass for evidence: a row goes if any of its sketches has an earlier row of its class.
+    rows = materialise(rows.where("text IS NOT NULL").select("doc_id", "text", "toxic", "calibrate").mapInPandas(
+        sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, toxic int, calibrate boolean, sketch array<long>"), "toxic-sample")
+    for k in range(SKETCHES):
+        same = Window.partitionBy("toxic", F.get("sketch", k))
         rows = rows.withColumn(f"first{k}", F.min("doc_id").over(same) == F.col("doc_id"))
-    rows = rows.where(" AND ".join(f"first{k}" for k in range(4))).select("text", "toxic", "calibrate").transform(
-        lambda df: materialise(df, "toxic-sample"))
+    rows = rows.where(" AND ".join(f"first{k}" for k in range(SKETCHES))).select("text", "toxic", "calibrate")
     counted = materialise(rows.where("NOT calibrate").select("text", "toxic")
                           .mapInPandas(bigram_counts, "h string, w string, n0 long, n1 long")
                           .groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-bigrams")
