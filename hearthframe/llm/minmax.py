@@ -2,10 +2,12 @@
 
 Each permutation of the shingle hashes gives two signature values, its smallest and its largest
 image, so `bands * rows / 2` permutations fill `bands` bands of `rows` values. Documents with
-equal sets are one node. In each bucket (band, values) the members are numbered; round r tests the
-members numbered 2^r - 1 to 2^(r+1) - 2 against the later ones of other components, on full sets,
-and joins components. So a bucket of copies costs one comparison each, and every pair of a bucket
-that no chain of links joins is tested in the end. With the defaults two sets at the threshold
+equal sets are one node. A first round tests each member of a bucket (band, values) against the
+bucket's first one, on full sets, and joins components. Nodes of buckets that still hold several
+components go on with their rarest shingles, of which two linked sets must share one: per such
+shingle, round r tests the members numbered 2^r - 1 to 2^(r+1) - 2 against the later ones of other
+components. So copies cost one comparison each, every pair that no chain of links joins is tested
+in the end, and no group is paired with itself. With the defaults two sets at the threshold
 share no band with probability (1 - 0.8^5)^40 = 1.2e-7.
 """
 
@@ -91,6 +93,77 @@ def shared(left: pd.Series, right: pd.Series) -> pd.Series:
                       for a, b in zip(left, right)], dtype="int64")
 
 
+def prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n): the rarest shingles of each node, as many as two linked sets must share one of.
+
+    A set of n linked to another shares at least ceil(percent n / 100) of its shingles, so under any common order the first
+    n - that + 1 of both have one in common. Rarest first, an edited copy's own shingles come before those of its group.
+    """
+    def listed(batches):
+        for pdf in batches:
+            items = [np.frombuffer(x, np.int64) for x in pdf["items"]]
+            size = [len(x) for x in items]
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), size), "n": np.repeat(size, size),
+                                "token": np.concatenate(items) if items else np.zeros(0, np.int64)})
+
+    kind = sets.schema["node"].dataType.simpleString()
+    tokens = materialise(sets.join(nodes, "node", "left_semi").mapInPandas(listed, f"node {kind}, n long, token long"), "minmax-tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("node").orderBy("holders", "token")
+    return (tokens.join(common, "token").withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("holders > 1").select("token", "node", "n"))
+
+
+def numbered(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of keys that have several, numbered in the order of their ids."""
+    crowded = members.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
+    return members.join(crowded, keys).withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1)
+
+
+class Links:
+    """Links found so far, the pairs tested, and the component of each linked node."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links = self.tested = self.labels = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def divided(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Members of those keys whose members are not all in one component."""
+        rows = self.labelled(rows)
+        mixed = rows.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*keys)
+        return rows.join(mixed, keys, "left_semi").drop("component")
+
+    def test(self, buckets: DataFrame, keys: list[str], step: int) -> None:
+        """Test the members numbered 2^step - 1 to 2^(step + 1) - 2 of each bucket against later ones of other components."""
+        low, high, percent = (1 << step) - 1, (1 << (step + 1)) - 1, self.percent
+        open_ = self.labelled(buckets.where(F.col("members") > low + 1))
+        hubs = open_.where((F.col("number") >= low) & (F.col("number") < high)).select(
+            *keys, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("number").alias("hub_number"), F.col("component").alias("hub_component"))
+        pairs = (open_.join(hubs, keys)
+                 .where((F.col("number") > F.col("hub_number")) & (F.col("component") != F.col("hub_component"))
+                        & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+                 .select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct())
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
+        pairs = materialise(pairs, "minmax-pairs")
+        if pairs.isEmpty():
+            return
+        a = self.sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
+        b = self.sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
+        found = pairs.join(b, "v").join(a, "u").withColumn("both", shared("a", "b"))
+        union = F.length("a") / 8 + F.length("b") / 8 - F.col("both")
+        fresh = materialise(found.where(100 * F.col("both") >= percent * union).select("u", "v").distinct(), "minmax-links")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        if not fresh.isEmpty():
+            self.links = fresh if self.links is None else self.links.unionByName(fresh)
+            self.labels = components(self.links)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
@@ -100,46 +173,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sketched = materialise(sketch(docs, words, bands, rows), "minmax-sketch")
     nodes = (sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
              .agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("bands").alias("bands")))
-    spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    crowded = spread.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
-    order = Window.partitionBy("band", "value").orderBy("node")
-    buckets = materialise(spread.join(crowded, ["band", "value"]).withColumn("number", F.row_number().over(order) - 1), "minmax-buckets")
-    largest = buckets.agg(F.max("members")).first()[0] or 0
-    links = None
-    if largest:
+    buckets = materialise(numbered(nodes.select("node", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"]), "minmax-buckets")
+    labels = None
+    if not buckets.isEmpty():
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         sets = materialise(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words), "minmax-sets")
-        labels, tested, step = None, None, 0
-        while (1 << step) <= largest:
-            low, high = (1 << step) - 1, (1 << (step + 1)) - 1
-            open_ = buckets.where(F.col("members") > low + 1)
-            if labels is not None:
-                open_ = open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            else:
-                open_ = open_.withColumn("component", F.col("node"))
-            hubs = open_.where((F.col("number") >= low) & (F.col("number") < high)).select(
-                "band", "value", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("number").alias("hub_number"),
-                F.col("component").alias("hub_component"))
-            pairs = (open_.join(hubs, ["band", "value"])
-                     .where((F.col("number") > F.col("hub_number")) & (F.col("component") != F.col("hub_component"))
-                            & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-                     .select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct())
-            if tested is not None:
-                pairs = pairs.join(tested, ["u", "v"], "left_anti")
-            pairs = materialise(pairs, "minmax-pairs")
-            if not pairs.isEmpty():
-                a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
-                b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-                found = pairs.join(b, "v").join(a, "u").withColumn("both", shared("a", "b"))
-                union = F.length("a") / 8 + F.length("b") / 8 - F.col("both")
-                fresh = materialise(found.where(100 * F.col("both") >= percent * union).select("u", "v").distinct(), "minmax-links")
-                links = fresh if links is None else links.unionByName(fresh)
-                tested = pairs if tested is None else tested.unionByName(pairs)
-                labels = components(links)
-            step += 1
+        found = Links(sets, percent)
+        found.test(buckets, ["band", "value"], 0)
+        rest = materialise(found.divided(buckets, ["band", "value"]).select("node").distinct(), "minmax-rest")
+        if not rest.isEmpty():
+            tokens = numbered(materialise(prefixes(sets, rest, percent), "minmax-prefixes"), ["token"])
+            tokens = materialise(found.divided(tokens, ["token"]), "minmax-divided")
+            largest, step = tokens.agg(F.max("members")).first()[0] or 0, 0
+            while (1 << step) <= largest:
+                found.test(tokens, ["token"], step)
+                step += 1
+        labels = found.labels
     own = sketched.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     of_set = nodes.select("k1", "k2", "node")
-    if links is not None:
+    if labels is not None:
         of_set = of_set.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     else:
         of_set = of_set.select("k1", "k2", F.col("node").alias("component"))

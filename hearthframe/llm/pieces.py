@@ -28,7 +28,9 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 RUN = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +")
 MIXED = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN} ][{LATIN}]")
 #: Open prefixes after which paths are compared, and words remembered in a task.
-OPEN, REMEMBERED = 256, 600_000
+OPEN, REMEMBERED = 256, 150_000
+#: Rows handed back at once.
+ROWS = 500
 #: Merges that never come, and the cost from which a piece was added without a rank of its own.
 NEVER, ADDED = float("inf"), 1e8
 
@@ -234,10 +236,10 @@ def encode_pieces(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def encoded(batches):
         own = sent()
-        for pdf in batches:
-            texts = [clear(t) for t in pdf["text"]]
+        for part in (pdf[k:k + ROWS] for pdf in batches for k in range(0, len(pdf), ROWS)):
+            texts = [clear(t) for t in part["text"]]
             ids = [own.encode(t) for t in texts]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_ids": [len(i) for i in ids], "ids": ids,
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_ids": [len(i) for i in ids], "ids": ids,
                                 "round_trip": [own.decode(i.tolist()) == t for i, t in zip(ids, texts)]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

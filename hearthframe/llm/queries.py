@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edits, language, minmax, pieces, pii, toxicity
+from . import decontaminate, edits, language, minmax, pieces, pii, toxicity, weighting
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -26,6 +26,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), pieces.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+@query
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text of documents."""
+    return weighting.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text of documents before and after two edits."""
