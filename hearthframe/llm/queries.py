@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edits, language, minmax, pieces, pii, toxicity, weighting
+from . import decontaminate, edits, language, minmax, pieces, pii, suffixes, toxicity, weighting
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -20,6 +20,12 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeated 100-byte passages from every whole text of documents."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text of documents, and whether they decode to it."""
