@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edits, language, minmax, pieces, pii, suffixes, toxicity, weighting
+from . import decontaminate, edits, hamming, language, minmax, pieces, pii, suffixes, toxicity, weighting
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -63,6 +63,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of embeddings nearest in Hamming distance to each whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+ORACLES["op8_hamming_topk"] = """
+WITH codes AS (SELECT vec_id, [coalesce(x > 0, false) for x in embedding] AS bits FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_sum([CAST(q.bits[i] <> c.bits[i] AS INT) for i in range(1, len(q.bits) + 1)]) AS INT) AS distance
+          FROM codes q JOIN codes c ON len(q.bits) = len(c.bits) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
+FROM pairs QUALIFY rank <= 10"""
+
+
 @query
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents over two-word shingles."""
