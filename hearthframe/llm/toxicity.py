@@ -112,8 +112,8 @@ def neutral() -> ToxicityModel:
                          np.array([-40.0, 0, 0, 0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000,
-        max_entries: int = 1 << 19,
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 4_000,
+        max_entries: int = 1 << 17,
         discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
     """Learn from labelled rows outside fold `held`. Repeated labels of a document count once (the larger wins).
 
