@@ -19,12 +19,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Polynomial hashes of substrings by prefix sums; the powers are kept from text to text."""
 
-    def __init__(self):
+    def __init__(self, base: int = int(BASE)):
+        self.base = base
         self.grow(1 << 12)
 
     def grow(self, size: int) -> None:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        self.powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, BASE))))
+        base, inverse = np.uint64(self.base), np.uint64(pow(self.base, -1, 1 << 64))
+        self.powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, base))))
         self.inverses = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, inverse))))
 
     def sums(self, raw: np.ndarray) -> np.ndarray:
