@@ -29,7 +29,7 @@ END_BYTE, HOT = 255, 2000
 #: The end of a text among the hashed words, and words a bucket of the vocabulary holds on average.
 END_TOKEN, BUCKET_WORDS = 0, 50_000
 #: Bytes of text after which a task hands on what it has counted or listed.
-FLUSH = 24 << 20
+FLUSH = 10 << 20
 
 
 def classes() -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +133,8 @@ def counted(batches):
     def handed(words: list, keys: list):
         token, n = np.unique(np.concatenate(words), return_counts=True)
         yield pd.DataFrame({"kind": np.zeros(len(token), np.int32), "key": token.view(np.int64), "n": n})
-        dense = np.bincount(np.concatenate(keys), minlength=1 << 24)
-        at = np.flatnonzero(dense)
-        yield pd.DataFrame({"kind": np.ones(len(at), np.int32), "key": at, "n": dense[at]})
+        at, n = np.unique(np.concatenate(keys), return_counts=True)
+        yield pd.DataFrame({"kind": np.ones(len(at), np.int32), "key": at.astype(np.int64), "n": n})
 
     words, keys, size = [], [], 0
     for pdf in batches:
