@@ -97,7 +97,7 @@ def estimator(kind: str, rows: int, **over):
     if kind == "gbt_robust":
         return GBTRegressor(lossType="absolute", maxIter=over.get("trees", 220), maxDepth=3, stepSize=0.04, minInstancesPerNode=15, **common)
     if kind == "boosted":
-        return GBTRegressor(lossType="absolute", maxIter=over.get("trees", 650), maxDepth=over.get("depth", 6), stepSize=0.05,
+        return GBTRegressor(lossType="absolute", maxIter=over.get("trees", 650), maxDepth=over.get("depth", 6), stepSize=0.04,
                             validationIndicatorCol="is_validation", **common)
     if kind in ("random_forest", "quantile_forest"):
         return RandomForestRegressor(numTrees=over.get("trees", 80), maxDepth=over.get("depth", 16), minInstancesPerNode=20,
@@ -151,7 +151,7 @@ def leaf_quantiles(model, train: DataFrame, rows: DataFrame, probs: dict[str, fl
 
     def leaves(df: DataFrame, *keep: str) -> DataFrame:
         return model.transform(df).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_no"))
-    members = leaves(train.withColumn("label_r", F.round("label", 0)), "label_r").groupBy("tree", "leaf_no", "label_r").agg(F.count(F.lit(1)).alias("n"))
+    members = leaves(train.withColumn("label_r", F.col("label")), "label_r").groupBy("tree", "leaf_no", "label_r").agg(F.count(F.lit(1)).alias("n"))
     size = members.groupBy("tree", "leaf_no").agg(F.sum("n").alias("size"))
     weighted = members.join(size, ["tree", "leaf_no"]).select(
         "tree", "leaf_no", "label_r", F.greatest(F.lit(1), F.round(F.col("n") / F.col("size") * unit).cast("bigint")).alias("mass"))
@@ -218,15 +218,24 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 5000) -> DataFrame:
     import numpy as np
     import pandas as pd
     gain = F.abs(F.col("new_price") - F.col("actual_price")) - F.abs(F.col("old_price") - F.col("actual_price"))
-    slim = pairs.select(gain.alias("d"), F.xxhash64("transaction_id").alias("h"))
+    slim = pairs.select(gain.cast("double").alias("d"), F.xxhash64("transaction_id").alias("h"))
+    # Smallest uniform number of each Poisson(1) count.
+    steps = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 12)]))
+    salt = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def weights(rows):
+        """Weights that depend on the row and the replicate alone, however rows are dealt out."""
+        x = rows[:, None] ^ salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53, side="right")
 
     def draw(batches):
         total, weight = np.zeros(replicates), np.zeros(replicates)
         for pdf in batches:
             for start in range(0, len(pdf), 512):
                 part = pdf.iloc[start:start + 512]
-                rng = np.random.default_rng(int(part["h"].astype("int64").sum()) & (2 ** 63 - 1))
-                w = rng.poisson(1.0, size=(len(part), replicates))
+                w = weights(part["h"].to_numpy(np.int64).view(np.uint64))
                 total += part["d"].to_numpy() @ w
                 weight += w.sum(axis=0)
         yield pd.DataFrame({"replicate": np.arange(replicates), "total": total, "weight": weight})

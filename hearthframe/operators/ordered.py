@@ -20,9 +20,10 @@ TARGET_RESOLUTION = 8    # many small groups: buckets about 13 % wide
 
 
 def value_bucket(value: Column, resolution: int) -> Column:
-    """Monotone non-decreasing bucket number (log1p is semi-monotonic on the JVM)."""
-    size = F.abs(value.cast("double"))
-    return F.floor(F.signum(value.cast("double")) * F.log1p(size) * F.lit(float(resolution)))
+    """Monotone non-decreasing bucket number (log1p is semi-monotonic on the JVM); NaN sorts last and has the last one."""
+    number = value.cast("double")
+    bucket = F.floor(F.signum(number) * F.log1p(F.abs(number)) * F.lit(float(resolution)))
+    return F.when(F.isnan(number), F.lit(2 ** 62)).otherwise(bucket)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -26,9 +26,27 @@ def _around(df: DataFrame, size: float) -> DataFrame:
         .withColumn("cy", F.col("cy") + F.col("dy")).withColumn("cx", F.col("cx") + F.col("dx")).drop("dy", "dx")
 
 
+def _within(wanted: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """(category, latitude, longitude): facilities within ``radius``, by cells at least a radius wide on both axes."""
+    tall = radius / METRES_PER_DEGREE * 1.001
+    top = (wanted.agg(F.max(F.abs(F.col("latitude")))).first()[0] or 0.0) + tall
+    wide = tall / math.cos(math.radians(top)) if top < 89 else 360.0
+
+    def cell(df: DataFrame) -> DataFrame:
+        return df.withColumn("cy", F.floor(F.col("latitude") / tall)).withColumn("cx", F.floor(F.col("longitude") / wide))
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    asked = cell(wanted).withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)) \
+        .withColumn("cy", F.col("cy") + F.col("dy")).withColumn("cx", F.col("cx") + F.col("dx"))
+    side = cell(targets).select("category", "cy", "cx", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "n")
+    d = M.haversine_m(F.col("latitude"), F.col("longitude"), F.col("t_lat"), F.col("t_lon"))
+    return asked.join(side, ["category", "cy", "cx"]).where(d <= radius).groupBy("category", "latitude", "longitude").agg(F.sum("n").alias("within"))
+
+
 def nearest_and_within(blocks: DataFrame, facilities: DataFrame, radius: float = K.WITHIN_RADIUS_M) -> DataFrame:
     """(block_id, category): smallest distance (0.1 m) and number of facilities within ``radius``.
 
+    A block without coordinates keeps its rows, with no distance and a count of zero.
+
     Points are first reduced to distinct coordinates with counts, so a third of
     all facilities at one address is one row. Each level meets only the 3x3 cells
     around a point; a point is settled once its nearest find lies within the
@@ -43,13 +61,13 @@ def nearest_and_within(blocks: DataFrame, facilities: DataFrame, radius: float =
     vocabulary = targets.agg(F.collect_set("category").alias("c")).scalar()
     wanted = points.withColumn("category", F.explode(vocabulary))
     key = ["category", "latitude", "longitude"]
-    open_, settled, within = wanted, None, None
+    open_, settled = wanted, None
     for i, size in enumerate(LEVELS):
         side = _cell(targets.select("category", F.col("latitude"), F.col("longitude"), "n"), size) \
             .select("category", "cy", "cx", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "n")
         pairs = _around(open_, size).join(side, ["category", "cy", "cx"]).withColumn(
             "d", M.haversine_m(F.col("latitude"), F.col("longitude"), F.col("t_lat"), F.col("t_lon")))
-        found = pairs.groupBy(*key).agg(F.min("d").alias("nearest"), F.sum(F.when(F.col("d") <= radius, F.col("n"))).alias("inside"))
+        found = pairs.groupBy(*key).agg(F.min("d").alias("nearest"))
         sure = F.lit(size * METRES_PER_DEGREE) * F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("latitude")) + size)))
         state = open_.join(found, key, "left")
         last = i == len(LEVELS) - 1
@@ -57,11 +75,9 @@ def nearest_and_within(blocks: DataFrame, facilities: DataFrame, radius: float =
         done = F.lit(True) if last else F.coalesce(F.col("nearest") <= sure, F.lit(False))
         part = state.filter(done).select(*key, "nearest")
         settled = part if settled is None else settled.unionByName(part)
-        if i == 0:
-            within = state.select(*key, F.col("inside").alias("within"))
         open_ = state.filter(~done).select(*key)
-    result = settled.join(within, key, "left")
-    out = blocks.select("block_id", "latitude", "longitude").join(result, ["latitude", "longitude"])
+    result = settled.join(_within(wanted, targets, radius), key, "left")
+    out = blocks.select("block_id", "latitude", "longitude", F.explode(vocabulary).alias("category")).join(result, key, "left")
     return out.select("block_id", "category", F.round("nearest", 1).alias("nearest_m"), F.coalesce("within", F.lit(0)).alias("within_radius"))
 
 

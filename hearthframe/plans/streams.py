@@ -10,14 +10,12 @@ from hearthframe.session import new_path
 from hearthframe.sources.tables import LISTINGS_SQL, OBSERVATIONS_SQL, raw_observations
 from hearthframe.streaming import pages as P
 
-SPREAD = 4
-
 
 def observation_stream(spark, sf):
     """The observations as files that arrive one by one."""
     path = new_path(spark, "arrivals")
     o = raw_observations(spark, sf).withColumn("page_number", F.col("page_number").cast("int"))
-    o.repartition(SPREAD).write.parquet(path)
+    o.write.parquet(path)
     return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

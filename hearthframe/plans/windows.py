@@ -127,10 +127,10 @@ def _g7(spark, sf):
     return e.agg(F.min_by("model_id", F.struct("mae", "model_id")).alias("model_id"))
 
 
-@query("g8_ordered_nulls_last", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS score FROM customer ORDER BY score DESC NULLS LAST, c_custkey LIMIT 1400")
+@query("g8_ordered_nulls_last", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS score FROM customer ORDER BY score DESC NULLS LAST, c_custkey")
 def _g8(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("score"))
-    return c.orderBy(F.desc_nulls_last("score"), "c_custkey").limit(1400)
+    return c.orderBy(F.desc_nulls_last("score"), "c_custkey")
 
 
 @query("h1_union_all", "SELECT 'orders' AS source, o_custkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'customer', c_custkey, c_acctbal FROM customer")
@@ -159,8 +159,8 @@ def _h4(spark, sf):
     return table(spark, sf, "part").select("p_type", "p_brand").distinct()
 
 
-@query("h5_dedupe_seen", """SELECT o_custkey, o_orderpriority, rn FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey)) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) WHERE rn <= 3""")
+@query("h5_dedupe_seen", """SELECT o_custkey, o_orderpriority, rn FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey)) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) WHERE rn <= 5""")
 def _h5(spark, sf):
     first = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_key"))
     w = Window.partitionBy("o_custkey").orderBy("first_key")
-    return first.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").drop("first_key")
+    return first.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").drop("first_key")

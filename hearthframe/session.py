@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def build_session(app: str = "hearthframe", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's own, else a scratch one."""
+    """Folder every executor can reach: the cluster's own; a scratch one only where driver and executors are one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder shared by all executors of {master}")
     made = tempfile.mkdtemp(prefix="hearthframe-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

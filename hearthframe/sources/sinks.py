@@ -27,7 +27,7 @@ def parquet_sink(df: DataFrame, path: str, partition: Sequence[str] = ()) -> Dat
 def report_files(df: DataFrame, path: str) -> tuple[str, str]:
     """Header CSV and JSON lines beside each other, written in parallel parts."""
     csv, json = f"{path}/csv", f"{path}/json"
-    df.write.mode("errorifexists").option("header", True).csv(csv)
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(csv)
     df.write.mode("errorifexists").json(json)
     return csv, json
 
@@ -39,13 +39,12 @@ def replace_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str]) ->
 
 def update_from(target: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str],
                 where: Column | None = None) -> DataFrame:
-    """UPDATE ... FROM: matched rows that pass ``where`` take the other table's values."""
-    other = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    """UPDATE ... FROM: matched rows that pass ``where`` take the other table's values, NULLs included."""
+    other = updates.select(*keys, F.lit(True).alias("__matched"), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = target.join(other, list(keys), "left")
-    allowed = F.lit(True) if where is None else where
-    for c in columns:
-        joined = joined.withColumn(c, F.when(allowed, F.coalesce(f"__{c}", c)).otherwise(F.col(c)))
-    return joined.select(*target.columns)
+    allowed = F.col("__matched") if where is None else F.col("__matched") & where
+    changed = {c: F.when(allowed, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
+    return joined.withColumns(changed).select(*target.columns)
 
 
 def append_run(history: DataFrame, current: DataFrame) -> DataFrame:

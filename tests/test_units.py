@@ -190,3 +190,57 @@ def test_gates_raise(spark):
     df = spark.createDataFrame([("a", "train"), ("a", "test")], "id string, dataset_split string")
     with pytest.raises(Q.GateError):
         Q.enforce(Q.gate_report(df, df, "id", [], "dataset_split", ["train", "test"]))
+
+
+def test_shared_folder_is_required_off_local(spark, monkeypatch):
+    from hearthframe import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+
+
+def test_csv_keeps_doubled_quotes_and_line_breaks(spark, tmp_path):
+    from hearthframe.sources.readers import scan_csv
+    from hearthframe.sources.sinks import report_files
+    (tmp_path / "a.csv").write_text('k,v\n1,"x ""q"" y, z"\n2,"two\nlines"\n')
+    rows = {r.k: r.v for r in scan_csv(spark, str(tmp_path / "a.csv"), ["k"], line_breaks=True).collect()}
+    assert rows == {"1": 'x "q" y, z', "2": "two\nlines"}
+    path, _ = report_files(spark.createDataFrame([(1, 'say "hi", \\ ok')], "k int, v string"), str(tmp_path / "out"))
+    assert scan_csv(spark, path, ["k"]).first().v == 'say "hi", \\ ok'
+
+
+def test_update_from_sets_null(spark):
+    from hearthframe.sources.sinks import update_from
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    got = update_from(target, spark.createDataFrame([(1, None)], "k int, v string"), ["k"], ["v"])
+    assert {r.k: r.v for r in got.collect()} == {1: None, 2: "b"}
+
+
+def test_wide_radius_and_blocks_without_a_point(spark):
+    from hearthframe.functions.measures import haversine_m
+    from hearthframe.operators.spatial import nearest_and_within
+    blocks = spark.createDataFrame([("B1", 60.0, 25.0), ("B2", None, None)], "block_id string, latitude double, longitude double")
+    spots = spark.createDataFrame([("S", 60.0 + 0.02 * k, 25.0 + 0.05 * k) for k in range(1, 9)], "category string, latitude double, longitude double")
+    for radius in (1000.0, 5000.0, 12000.0):
+        want = spots.where(haversine_m(F.lit(60.0), F.lit(25.0), F.col("latitude"), F.col("longitude")) <= radius).count()
+        got = {r.block_id: (r.nearest_m, r.within_radius) for r in nearest_and_within(blocks, spots, radius).collect()}
+        assert got["B1"][1] == want and got["B2"] == (None, 0)
+
+
+def test_median_with_nan_last(spark):
+    from hearthframe.operators.ordered import quantiles
+    values = spark.createDataFrame([(x,) for x in (-5.0, 100.0, 200.0, float("nan"))], "x double")
+    assert quantiles(values, [], "x", {"m": 0.5}).first().m == 150.0
+
+
+def test_bootstrap_ignores_partitioning(spark):
+    from hearthframe.operators.models import paired_bootstrap
+    pairs = spark.range(400).selectExpr("cast(id as string) AS transaction_id", "100.0 AS actual_price", "100.0 + id % 7 AS old_price", "100.0 + id % 5 AS new_price")
+    one, many = (paired_bootstrap(pairs.repartition(n), 300).first() for n in (1, 9))
+    assert abs(one.low - many.low) < 1e-9 and abs(one.high - many.high) < 1e-9 and one.low < one.mae_difference < one.high
