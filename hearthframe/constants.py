@@ -95,3 +95,14 @@ TOWN_CODES = {
     "SK": "SENGKANG", "TAP": "TAMPINES", "TG": "TENGAH",
     "TP": "TOA PAYOH", "WL": "WOODLANDS", "YS": "YISHUN",
 }
+
+# Formats of listing cards. They must match the text of the cards.
+CARD_BLOCK = r"(?i)^(\d{1,4}[A-Z]?)\s+(.+)$"
+CARD_HEADING = r"(?i)^(?:BLK\s+)?(\d{1,4}[A-Z]?)\s+(.+)$"
+CARD_PRICE = r"^S\$\s*([\d,]+)$"
+CARD_AREA = r"(?i)\b([\d,]+)\s*sqft\b"
+CARD_LAND = r"(?i)\b([\d,]+)\s*sqft\s*\(land\)"
+CARD_STREET = r"(?i)^\d{1,4}[A-Z]?\s+(.+)$"
+CARD_BUILT = r"(?i)\bBuilt:\s*(\d{4})\b"
+CARD_LEASE = r"(?i)\b(\d+-year Leasehold|Freehold|Prefer Not to Say)\b"
+CARD_LISTED = r"(?i)\bListed on\s+(\w+\s+\d{1,2},\s+\d{4})\b"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthframe.functions import measures as M
+from hearthframe.session import shared_dir
 
 
 def engineered_features(df: DataFrame) -> DataFrame:
@@ -108,6 +109,10 @@ def estimator(kind: str, rows: int, **over):
 def fit(kind: str, train: DataFrame, validation: DataFrame | None = None, **over):
     """Pipeline fitted on the residual target."""
     from pyspark.ml import Pipeline
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Boosting checkpoints its row predictions every few rounds, else the lineage grows with the rounds.
+        context.setCheckpointDir(shared_dir(train.sparkSession))
     rows = train.count()
     data = train
     if kind == "boosted":

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthframe import constants as K
 from hearthframe.functions import text as T
 
 COPIES_PER_CHUNK = 100_000
@@ -109,9 +110,9 @@ def audit_listings(df: DataFrame, site: str, hosts: list[str]) -> DataFrame:
     heading = F.coalesce(F.nullif(F.get_json_object("raw_card_json", "$.heading"), F.lit("")), F.col("project_name"), F.lit(""))
     address = F.trim(F.coalesce(F.col("address"), F.lit("")))
     done = T.complete_address(address, heading)
-    located = done["address"].rlike(T.BLOCK_PATTERN)
-    block = F.upper(F.regexp_extract(done["address"], T.BLOCK_PATTERN, 1))
-    street = F.upper(F.trim(F.regexp_extract(done["address"], T.BLOCK_PATTERN, 2)))
+    located = done["address"].rlike(K.CARD_BLOCK)
+    block = F.upper(F.regexp_extract(done["address"], K.CARD_BLOCK, 1))
+    street = F.upper(F.trim(F.regexp_extract(done["address"], K.CARD_BLOCK, 2)))
     fixes = [
         ("title", F.trim(F.coalesce(F.col("title"), F.lit(""))).rlike(r"^\d+$"), F.lit("")),
         ("address", located & (done["address"] != address), done["address"]),

@@ -15,10 +15,6 @@ from hearthframe.session import materialise
 from hearthframe.sources.tables import (
     PREDICTIONS_SQL, SALES_SQL, SPLIT_SQL, blocks, predictions, sales, with_split)
 
-# Fewer boosting rounds and trees than the operators' defaults: enough to run every part of the
-# path on all rows. Rows are never reduced.
-TREES, ROUNDS = 10, 8
-
 
 def training_frame(spark, sf):
     """Features of every sale with a past-only anchor: recent median unit price of the group times area."""
@@ -67,12 +63,12 @@ def _i2(spark, sf):
 
 @query("i3_gbt_robust")
 def _i3(spark, sf):
-    return fit_and_score(spark, sf, "gbt_robust", "GBT_ROBUST", trees=ROUNDS)
+    return fit_and_score(spark, sf, "gbt_robust", "GBT_ROBUST")
 
 
-def _quantiles(spark, sf, trees, depth):
+def _quantiles(spark, sf):
     train, validation, _ = split_frame(spark, sf)
-    model = MO.fit("quantile_forest", train, trees=trees, depth=depth)
+    model = MO.fit("quantile_forest", train)
     q = MO.leaf_quantiles(model, train, validation, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     x = q.join(validation.select("transaction_id", "actual_price"), "transaction_id")
     return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("p50") - F.col("actual_price"))), 2).alias("mae"),
@@ -82,22 +78,22 @@ def _quantiles(spark, sf, trees, depth):
 
 @query("i4_quantile_trees")
 def _i4(spark, sf):
-    return _quantiles(spark, sf, 4, 4)
+    return _quantiles(spark, sf)
 
 
 @query("i5_random_forest")
 def _i5(spark, sf):
-    return fit_and_score(spark, sf, "random_forest", "RANDOM_FOREST", trees=TREES, depth=8)
+    return fit_and_score(spark, sf, "random_forest", "RANDOM_FOREST")
 
 
 @query("i6_boosted_native_cat")
 def _i6(spark, sf):
-    return fit_and_score(spark, sf, "boosted", "BOOSTED", trees=ROUNDS, depth=4)
+    return fit_and_score(spark, sf, "boosted", "BOOSTED")
 
 
 @query("i7_boosted_multi_quantile")
 def _i7(spark, sf):
-    return _quantiles(spark, sf, 3, 5)
+    return _quantiles(spark, sf)
 
 
 @query("i9_residual_target", f"""WITH {SALES_SQL} SELECT transaction_id, resale_price - unit_reference_price * 40 AS label FROM sales WHERE unit_reference_price * 40 > 38000""")

@@ -8,11 +8,10 @@ from __spark_entry__ import oracle_sql, queries
 from compare import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# Long jobs, run when TEST_ALL=1; tests/compare.py runs them too.
-LONG = {"i1_preprocess", "i2_ridge", "i3_gbt_robust", "i4_quantile_trees", "i5_random_forest", "i6_boosted_native_cat",
-        "i7_boosted_multi_quantile", "i12_linear_contributions", "i20_training_window_comparison", "i21_absorb_fixed_effects",
-        "i22_ols_small", "j1_scenario_valuation", "j3_batch_point_valuation", "j4_partial_request_widening", "d4_tiered_comparables",
-        "e1_baseline_metrics", "i8_past_only_anchors", "d6_strict_as_of_month", "f2_ranked_evidence"}
+# Model training, minutes each, run when TEST_ALL=1; tests/compare.py runs it too.
+LONG = {"i3_gbt_robust", "i4_quantile_trees", "i5_random_forest", "i6_boosted_native_cat", "i7_boosted_multi_quantile", "i20_training_window_comparison"}
+# The operators of the optional subpackage have tests of their own.
+LONG |= {n for n in queries() if n.startswith("op") or n == "pipeline"}
 NAMES = [n for n in queries() if os.environ.get("TEST_ALL") or n not in LONG]
 
 
