@@ -94,7 +94,7 @@ def shared(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n): the rarest shingles of each node, as many as two linked sets must share one of.
+    """(token, node, n, place): the rarest shingles of each node, as many as two linked sets must share one of.
 
     A set of n linked to another shares at least ceil(percent n / 100) of its shingles, so under any common order the first
     n - that + 1 of both have one in common. Rarest first, an edited copy's own shingles come before those of its group.
@@ -111,7 +111,7 @@ def prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     common = tokens.groupBy("token").agg(F.count("*").alias("holders"))
     order = Window.partitionBy("node").orderBy("holders", "token")
     return (tokens.join(common, "token").withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("holders > 1").select("token", "node", "n"))
+            .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("holders > 1").select("token", "node", "n", "place"))
 
 
 def numbered(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,14 +139,21 @@ class Links:
         return rows.join(mixed, keys, "left_semi").drop("component")
 
     def test(self, buckets: DataFrame, keys: list[str], step: int) -> None:
-        """Test the members numbered 2^step - 1 to 2^(step + 1) - 2 of each bucket against later ones of other components."""
+        """Test the members numbered 2^step - 1 to 2^(step + 1) - 2 of each bucket against later ones of other components.
+
+        `place` is a key's place in the common order of a set's shingles. Two sets share no more than their first common one
+        and what comes after it in both, so a pair is left out at places too late to reach the overlap it needs.
+        """
         low, high, percent = (1 << step) - 1, (1 << (step + 1)) - 1, self.percent
         open_ = self.labelled(buckets.where(F.col("members") > low + 1))
         hubs = open_.where((F.col("number") >= low) & (F.col("number") < high)).select(
-            *keys, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("number").alias("hub_number"), F.col("component").alias("hub_component"))
+            *keys, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("number").alias("hub_number"), F.col("component").alias("hub_component"),
+            F.col("place").alias("hub_place"))
         pairs = (open_.join(hubs, keys)
                  .where((F.col("number") > F.col("hub_number")) & (F.col("component") != F.col("hub_component"))
-                        & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+                        & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+                        & ((100 + percent) * (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) + 1)
+                           >= percent * (F.col("n") + F.col("hub_n"))))
                  .select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct())
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
@@ -173,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sketched = materialise(sketch(docs, words, bands, rows), "minmax-sketch")
     nodes = (sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
              .agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("bands").alias("bands")))
-    buckets = materialise(numbered(nodes.select("node", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"]), "minmax-buckets")
+    buckets = materialise(numbered(nodes.select("node", "n", F.posexplode("bands").alias("band", "value"), F.lit(1).alias("place")), ["band", "value"]), "minmax-buckets")
     labels = None
     if not buckets.isEmpty():
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
