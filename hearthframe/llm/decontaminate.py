@@ -52,27 +52,22 @@ def fingerprints(bags: DataFrame, keys: list[str]) -> DataFrame:
     summed = hashed.groupBy(*keys).agg(F.count("*").alias("rows"), *(
         F.sum(F.shiftrightunsigned(f"h{p}", b).bitwiseAND(lane)).alias(f"s{p}_{b}") for p in range(PARTS) for b in range(32)))
 
-    def part(p: int) -> Column:
-        value = F.lit(0).cast("long")
-        for b in range(64):
-            count = F.shiftrightunsigned(f"s{p}_{b % 32}", b - b % 32).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-            value = value.bitwiseOR(F.when(2 * count > F.col("rows"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return value
-
-    return summed.select(*keys, *(part(p).alias(f"f{p}") for p in range(PARTS)))
+    sums = summed.select(*keys, "rows", *(F.array(*(f"s{p}_{b}" for b in range(32))).alias(f"c{p}") for p in range(PARTS)))
+    part = """aggregate(sequence(0, 63), 0L, (f, b) ->
+              f | IF(2 * (shiftrightunsigned(c{p}[b % 32], 32 * int(b / 32)) & 4294967295L) > rows, shiftleft(1L, b), 0L)) AS f{p}"""
+    return sums.selectExpr(*keys, *(part.format(p=p) for p in range(PARTS)))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """One row for each of the RADIUS + 1 blocks of a fingerprint."""
-    cut, number = [], 0
+    cuts = []
     for p in range(PARTS):
         share = (RADIUS + 1) // PARTS + (p < (RADIUS + 1) % PARTS)
         edges = [k * 64 // share for k in range(share + 1)]
-        for low, high in zip(edges, edges[1:]):
-            value = F.shiftrightunsigned(f"f{p}", low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
-            cut.append(F.struct(F.lit(number).alias("block"), value.alias("value")))
-            number += 1
-    return rows.select("*", F.explode(F.array(*cut)).alias("_b")).select(*rows.columns, "_b.block", "_b.value")
+        cuts += [(p, low, (1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])]
+    part, low, mask = (f"array({', '.join(f'{c[k]}L' if k == 2 else str(c[k]) for c in cuts)})" for k in range(3))
+    listed = rows.selectExpr("*", f"array({', '.join(f'f{p}' for p in range(PARTS))}) AS _f", f"posexplode({part}) AS (block, _part)")
+    return listed.selectExpr(*rows.columns, "block", f"shiftrightunsigned(_f[_part], {low}[block]) & {mask}[block] AS value")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
