@@ -40,6 +40,10 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def send(spark: SparkSession, model):
-    """Broadcast a dataclass as plain data; the returned function rebuilds it in a task."""
+    """Broadcast a dataclass as plain data; the returned function rebuilds it in a task, its `data` is the broadcast."""
     kind, data = type(model), spark.sparkContext.broadcast(vars(model))
-    return lambda: kind(**data.value)
+
+    def get():
+        return kind(**data.value)
+    get.data = data
+    return get

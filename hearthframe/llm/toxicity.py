@@ -114,7 +114,7 @@ def neutral() -> ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 4_000,
         max_entries: int = 1 << 17,
-        discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
+        discounts: tuple = (0.5, 1.5)) -> ToxicityModel:
     """Learn from labelled rows outside fold `held`. Repeated labels of a document count once (the larger wins).
 
     A quarter of the sampled rows is kept back: it calibrates the score and picks the absolute discount,
@@ -193,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
                 f"f{k}": [list(model.features(clear(t))) for t in pdf["text"]] for k, model in enumerate(own)})
 
     back = rows.where("calibrate").select("text", "toxic").mapInPandas(measure, schema).toPandas()
+    for get in sent:
+        get.data.destroy()
     if back["toxic"].nunique() < 2:
         return models[0]
     y, losses = back["toxic"].to_numpy(), []
