@@ -1,12 +1,17 @@
 """Language-model scores by context-tree weighting, beside a smoothed unigram base.
 
 A byte is eight binary decisions, a path of nodes from 1 to 255. Each node has a context tree of
-its own over the bytes before: depth 1 sees the last byte in 64 classes, depths 2 and 3 the ones
-before it in 32 classes each, so the deepest contexts number 2^16 and the whole model has a fixed
-size, whatever the corpus. The counts come from all training documents. Every tree node weighs its
-own Krichevsky-Trofimov estimate against the product of its children, and a prediction mixes the
-estimates of all depths along its path by those weights. Byte 255, which no UTF-8 text has, ends a
-text, so the probabilities of all texts sum to one.
+its own over the `DEPTH` whole bytes before it. Every context seen in training is kept, so the model
+grows with the corpus. A tree node weighs its own Krichevsky-Trofimov estimate against the product
+of its children, and a prediction mixes the estimates of all depths along its path by those weights.
+Byte 255, which no UTF-8 text has, ends a text, so the probabilities of all texts sum to one; it
+also fills the contexts before a text's start.
+
+A gram is a context, the nearest byte first, with the byte that follows, in one 64-bit number. Parts
+of the corpus list their distinct grams by bucket, a hash of the nearest `CUT` bytes. A bucket holds
+every context below those bytes, so it weighs its subtrees alone and hands up rows (gram, count, log
+weights); depths 2, 1 and 0 follow, one grouping each, and the weights go down the same way. Grams
+without training text have zero counts. The answers return to the part that listed the grams.
 
 The base needs the corpus count of every word. Hashed words and their documents go to buckets of
 the vocabulary, which send back partial sums per document; words that make up 1 / `HOT` or more of
@@ -15,6 +20,8 @@ all tokens (no more than `HOT` exist) are settled where the text is read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -29,42 +36,34 @@ END_BYTE, HOT = 255, 2000
 #: The end of a text among the hashed words, and words a bucket of the vocabulary holds on average.
 END_TOKEN, BUCKET_WORDS = 0, 50_000
 #: Bytes of text after which a task hands on what it has counted or listed.
-FLUSH = 10 << 20
-
-
-def classes() -> tuple[np.ndarray, np.ndarray]:
-    """Context class of each byte: 64 for the last one, 32 for those before it. Class 0 stands for the start of a text."""
-    near, far = np.zeros(256, np.uint32), np.zeros(256, np.uint32)
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c.lower() <= "z" and b < 128:
-            near[b], far[b] = ord(c) - (70 if c.islower() else 64), ord(c.lower()) - 96
-        elif b in (32, 9, 10, 11, 12, 13):
-            near[b], far[b] = (53 if b == 32 else 54), 27
-        elif 48 <= b < 58:
-            near[b], far[b] = 55, 28
-        elif b < 128:
-            near[b], far[b] = {46: 56, 44: 57}.get(b, 58), 29
-        elif b < 192:
-            near[b], far[b] = 59 + (b >= 160) + (b >= 176), 30
-        else:
-            near[b], far[b] = 62 if b in (194, 195) else 63, 31
-    return near, far
-
-
-NEAR, FAR = classes()
-
-
-def contexts(text: str):
-    """Arrays of context << 8 | byte over the whole text and its end, piece by piece."""
-    tail = np.zeros(3, np.uint32)       # of the bytes before: far class twice, near class
+FLUSH = 8 << 20
+#: Bytes of context, the depth at which subtrees are dealt to buckets, and bytes of text a bucket serves on average.
+DEPTH, CUT, BUCKET_BYTES = 7, 3, 1 << 22
+
+
+def grams(text: str):
+    """Arrays of grams over the whole text and its end, piece by piece."""
+    tail = np.full(DEPTH, END_BYTE, np.uint64)
     every = list(pieces(text))
     for k, piece in enumerate(every):
         raw = np.frombuffer(piece.encode("utf-8", "surrogatepass") + (bytes([END_BYTE]) if k == len(every) - 1 else b""), np.uint8)
-        far = np.concatenate((tail[:2], FAR[raw]))
-        near = np.concatenate((tail[2:], NEAR[raw]))
-        yield (near[:len(raw)] << np.uint32(18)) | (far[1:len(raw) + 1] << np.uint32(13)) | (far[:len(raw)] << np.uint32(8)) | raw
-        tail = np.concatenate((far[-2:], near[-1:]))
+        whole = np.concatenate((tail, raw.astype(np.uint64)))
+        key = whole[DEPTH:].copy()
+        for back in range(1, DEPTH + 1):
+            key |= whole[DEPTH - back:len(whole) - back] << np.uint64(64 - 8 * back)
+        yield key
+        tail = whole[len(whole) - DEPTH:]
+
+
+def shortened(key: np.ndarray, depth: int) -> np.ndarray:
+    """Grams with the nearest `depth` bytes of context only."""
+    return key & np.uint64(((1 << 8 * depth) - 1) << (64 - 8 * depth) | 255)
+
+
+def bucket_of(key: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """Bucket of the nearest `depth` bytes."""
+    near = (key >> np.uint64(64 - 8 * depth)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((near >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -76,6 +75,63 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - shift
 
 
+TABLE = lgamma(np.arange(1 << 13) / 2 + 0.5)
+
+
+def half_lgamma(twice: np.ndarray) -> np.ndarray:
+    """lgamma((twice + 1) / 2) of whole numbers."""
+    small = twice < len(TABLE)
+    out = TABLE[np.where(small, twice, 0)]
+    if not small.all():
+        out[~small] = lgamma(twice[~small] / 2 + 0.5)
+    return out
+
+
+def climb(key: np.ndarray, n: np.ndarray, deep: int, top: int, leaf: np.ndarray | None = None) -> list[dict]:
+    """Depths `top` to `deep` of the tree over sorted distinct grams: per gram and bit, log weighted
+    probability of the node, weight of its own estimate, and own probability of the gram's bit.
+
+    The deepest contexts weigh as `leaf` (rows of grams, columns of bits) says, or by their own estimates.
+    """
+    found, up, below = [], None, None
+    for depth in range(deep, top - 1, -1):
+        if depth < deep:
+            key, up = np.unique(shortened(key, depth), return_inverse=True)
+            n = np.bincount(up, n, len(key)).astype(np.int64)
+        change = key[1:] ^ key[:-1]
+        log, share, p = (np.empty((len(key), 8)) for _ in range(3))
+        for level in range(8):
+            run = np.concatenate(([0], np.cumsum((change >> np.uint64(8 - level)) != 0)))
+            bit = (key >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+            all_ = np.bincount(run, n).astype(np.int64)
+            ones = np.bincount(run, n * bit).astype(np.int64)
+            own = half_lgamma(2 * ones) + half_lgamma(2 * (all_ - ones)) - half_lgamma(2 * all_ + 1) - np.log(np.pi)
+            if depth == deep:
+                log[:, level], share[:, level] = own[run] if leaf is None else leaf[:, level], 1.0
+            else:
+                first, weight = below[level]
+                children = np.bincount(run[up[first]], weight, len(own))
+                whole = np.logaddexp(own, children) - np.log(2)
+                log[:, level], share[:, level] = whole[run], np.exp(own - np.log(2) - whole)[run]
+            p[:, level] = (np.where(bit, ones[run], (all_ - ones)[run]) + 0.5) / (all_[run] + 1)
+            first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            found_level = (first, log[first, level])
+            below_next = [found_level] if level == 0 else [*below_next, found_level]
+        below = below_next
+        found.append({"key": key, "n": n, "log": log, "share": share, "p": p, "up": up})
+    return found[::-1]
+
+
+def descend(tree: list[dict], sure: np.ndarray, rest: np.ndarray, leaf: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Probability settled so far and weight left, per gram and bit, from the top depth to the deepest; with `leaf` that one is not mixed in."""
+    for k, at in enumerate(tree):
+        if not (leaf and k == len(tree) - 1):
+            sure, rest = sure + rest * at["share"] * at["p"], rest * (1 - at["share"])
+        if k + 1 < len(tree):
+            sure, rest = sure[at["up"]], rest[at["up"]]
+    return sure, rest
+
+
 def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at the nodes 1..255 of each row of byte counts (column 0 is unused)."""
     zeros, ones = np.zeros(counts.shape), np.zeros(counts.shape)
@@ -99,7 +155,8 @@ def weighted(counts: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray,
 
 
 def tree_weights(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in each deepest context: float32[2^16, 256] from counts of the same shape."""
+    """Dense form of the same recursion for a tree of depth 3 over 64, 32 and 32 classes, to test against:
+    log10 probability of each byte in each deepest context, float32[2^16, 256] from counts of the same shape."""
     shape = counts.reshape(64, 32, 32, 256)
     by_near, log_near = shape.sum(axis=(1, 2)).astype(float), np.zeros((64, 256))
     inner = []
@@ -127,27 +184,23 @@ def tree_weights(counts: np.ndarray) -> np.ndarray:
 
 
 def counted(batches):
-    """(kind, key, n) of training rows: kind 0 hashed words with the end, kind 1 contexts with their byte."""
+    """(token, n) of training rows: hashed words with the end."""
     hasher = Hasher()
 
-    def handed(words: list, keys: list):
+    def handed(words: list):
         token, n = np.unique(np.concatenate(words), return_counts=True)
-        yield pd.DataFrame({"kind": np.zeros(len(token), np.int32), "key": token.view(np.int64), "n": n})
-        at, n = np.unique(np.concatenate(keys), return_counts=True)
-        yield pd.DataFrame({"kind": np.ones(len(at), np.int32), "key": at.astype(np.int64), "n": n})
+        yield pd.DataFrame({"token": token.view(np.int64), "n": n})
 
-    words, keys, size = [], [], 0
+    words, size = [], 0
     for pdf in batches:
         for text in map(clear, pdf["text"]):
             words += [hasher.words(text), np.array([END_TOKEN], np.uint64)]
-            own = list(contexts(text))
-            keys += own
-            size += sum(map(len, own))
+            size += len(text) + 1
             if size >= FLUSH:
-                yield from handed(words, keys)
-                words, keys, size = [], [], 0
+                yield from handed(words)
+                words, size = [], 0
     if size:
-        yield from handed(words, keys)
+        yield from handed(words)
 
 
 def smallest(values: np.ndarray) -> bytes:
@@ -160,6 +213,33 @@ def widened(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
+def packed(key: np.ndarray) -> bytes:
+    """Sorted grams byte plane by byte plane, compressed."""
+    return zlib.compress(key.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def merged(lists: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of one bucket, sorted, and their training counts."""
+    key, at = np.unique(np.concatenate([unpacked(x) for x in lists["grams"]]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([widened(x) for x in lists["train"]])).astype(np.int64)
+
+
+def handed_up(tree: list[dict]) -> pd.DataFrame:
+    top = tree[0]
+    return pd.DataFrame({"gram": top["key"].view(np.int64), "n": top["n"], "log": list(top["log"])})
+
+
+def taken(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams, counts and log weights of rows handed up."""
+    key = rows["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(key)
+    return key[by], rows["n"].to_numpy()[by], np.stack(rows["log"].to_numpy())[by]
+
+
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of `docs`.
 
@@ -168,17 +248,12 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", (fold(folds) == held).alias("held_out"))
-    table = materialise(rows.where("NOT held_out").select("text").mapInPandas(counted, "kind int, key long, n long")
-                        .groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    words = table.where("kind = 0").select(F.col("key").alias("token"), "n")
+    words = materialise(rows.where("NOT held_out").select("text").mapInPandas(counted, "token long, n long")
+                        .groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
     facts = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     total, types = facts["tokens"] or 0, facts["types"]
     hot = words.where(F.col("n") * HOT >= total).limit(HOT).toPandas().sort_values("token")
-    grown = table.where("kind = 1").select("key", "n").toPandas()
-    counts = np.zeros(1 << 24)
-    counts[grown["key"].to_numpy()] = grown["n"].to_numpy()
-    sent = spark.sparkContext.broadcast(tree_weights(counts.reshape(1 << 16, 256)).reshape(-1))
-    del counts, grown
+    shares = max(16, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     hot_tokens = hot["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hot_tokens)
     hot_tokens, hot_counts = hot_tokens[order], hot["n"].to_numpy()[order]
@@ -187,9 +262,9 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     def listed(batches):
         """Documents with what is settled here, and the other words by bucket: token, rows of its documents, counts there."""
-        hasher, logs = Hasher(), sent.value
+        hasher = Hasher()
         part, flush = TaskContext.get().partitionId(), 0
-        found, kept, size = [], [], 0
+        found, kept, seen, size = [], [], ([], []), 0
 
         def handed(chunk: int):
             tokens = np.concatenate([f[0] for f in found])
@@ -208,6 +283,15 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
             yield pd.DataFrame(kept).assign(chunk=chunk, row=np.arange(len(kept))).reindex(columns=names)
             if blobs:
                 yield pd.DataFrame(blobs).reindex(columns=names)
+            train, n = np.unique(np.concatenate(seen[0]), return_counts=True) if seen[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            every = np.unique(np.concatenate([train, *seen[1]]))
+            counts = np.zeros(len(every), np.int64)
+            counts[np.searchsorted(every, train)] = n
+            share = bucket_of(every, CUT, shares)
+            by = np.argsort(share, kind="stable")
+            edge = np.searchsorted(share[by], np.arange(shares + 1))
+            yield pd.DataFrame([{"chunk": chunk, "share": b, "grams": packed(every[by[low:high]]), "train": smallest(counts[by[low:high]])}
+                                for b, (low, high) in enumerate(zip(edge[:-1], edge[1:])) if low < high]).reindex(columns=names)
 
         for pdf in batches:
             for doc_id, text, held_out in zip(pdf["doc_id"], map(clear, pdf["text"]), pdf["held_out"]):
@@ -216,24 +300,25 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                 here = at < len(hot_tokens)
                 here[here] = hot_tokens[at[here]] == token[here]
                 base = float((often[here] * np.log10((hot_counts[at[here]] + 0.1) / divide)).sum())
-                length, score = 0, 0.0
-                for keys in contexts(text):
-                    score += float(logs[keys].sum(dtype=np.float64))
-                    length += len(keys)
+                own = list(grams(text))
+                length = sum(map(len, own))
+                seen[bool(held_out)].extend(own)
                 kept.append({"doc_id": doc_id, "held_out": held_out, "n_tokens": int(often.sum()), "n_known": int(often[here].sum()),
-                             "base_score": base, "score": score, "n_bytes": length - 1})
+                             "base_score": base, "text": text.encode("utf-8", "surrogatepass"), "n_bytes": length - 1})
                 found.append((token[~here], often[~here]))
                 size += length + 1000
                 if size >= FLUSH:
                     yield from handed((part << 20) | flush)
-                    flush, found, kept, size = flush + 1, [], [], 0
+                    flush, found, kept, seen, size = flush + 1, [], [], ([], []), 0
         if kept:
             yield from handed((part << 20) | flush)
 
-    names = ["chunk", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "bucket", "tokens", "holders", "docs", "often"]
+    names = ["chunk", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "text", "n_bytes", "bucket", "tokens", "holders", "docs", "often",
+             "share", "grams", "train"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialise(rows.mapInPandas(listed, f"chunk long, row int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
-                                        "base_score double, score double, n_bytes long, bucket int, tokens binary, holders binary, docs binary, often binary"),
+                                        "base_score double, text binary, n_bytes long, bucket int, tokens binary, holders binary, docs binary, often binary, "
+                                        "share int, grams binary, train binary"),
                        "lm-lists")
 
     def answered(lists: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -261,8 +346,64 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                .cogroup(words.where(F.col("n") * HOT < total).withColumn("bucket", bucket).groupBy("bucket"))
                .applyInPandas(answered, "chunk long, rows binary, base binary, known binary"))
 
+    lists = both.where("share IS NOT NULL").select("share", "chunk", "grams", "train")
+    up = "gram long, n long, log array<double>"
+    below = materialise(lists.groupBy("share").applyInPandas(lambda x: handed_up(climb(*merged(x), DEPTH, CUT)), up), "lm-subtrees")
+    near = F.pmod(F.xxhash64(F.expr("shiftrightunsigned(gram, 48)")), F.lit(shares))
+
+    def second(x: pd.DataFrame) -> list[dict]:
+        key, n, log = taken(x)
+        return climb(key, n, CUT, 2, log)
+
+    def first(x: pd.DataFrame) -> pd.DataFrame:
+        key, n, log = taken(x)
+        tree = climb(key, n, 2, 1, log)
+        return handed_up(tree).assign(share=list(tree[0]["share"]), p=list(tree[0]["p"]))
+
+    # At most 2^16 rows whatever the corpus: a byte and the one before.
+    last = (below.groupBy(near).applyInPandas(lambda x: handed_up(second(x)), up).groupBy(F.expr("shiftrightunsigned(gram, 56)"))
+            .applyInPandas(first, f"{up}, share array<double>, p array<double>").toPandas())
+    if len(last):
+        last = last.iloc[np.argsort(last["gram"].to_numpy().astype(np.int64).view(np.uint64))]
+        key, n, log = taken(last)
+        sure, rest = descend(climb(key, n, 1, 0, log), np.zeros((1, 1)), np.ones((1, 1)), True)
+        share, p = (np.stack(last[c].to_numpy()) for c in ("share", "p"))
+        sent = spark.sparkContext.broadcast((key, sure + rest * share * p, rest * (1 - share)))
+    else:
+        sent = spark.sparkContext.broadcast(None)
+
+    def down(x: pd.DataFrame) -> pd.DataFrame:
+        """Settled probability and weight left of the grams at depth `CUT`."""
+        tree, (known, sure, rest) = second(x), sent.value
+        at = np.searchsorted(known, shortened(tree[0]["key"], 1))
+        sure, rest = descend(tree, sure[at], rest[at], True)
+        key = tree[-1]["key"]
+        return pd.DataFrame({"share": bucket_of(key, CUT, shares), "gram": key.view(np.int64), "sure": list(sure), "rest": list(rest)})
+
+    def weighed(x: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        """log10 probability of each listed gram of one bucket."""
+        key, n = merged(x)
+        tree = climb(key, n, DEPTH, CUT)
+        above = above.iloc[np.argsort(above["gram"].to_numpy().astype(np.int64).view(np.uint64))]
+        sure, _ = descend(tree, np.stack(above["sure"].to_numpy()), np.stack(above["rest"].to_numpy()), False)
+        log = np.log10(sure).sum(axis=1).astype(np.float32)
+        return pd.DataFrame([(c, s, log[np.searchsorted(key, unpacked(g))].tobytes()) for c, s, g in zip(x["chunk"], x["share"], x["grams"])],
+                            columns=["chunk", "share", "logs"])
+
+    answers = (lists.groupBy("share").cogroup(below.groupBy(near).applyInPandas(
+        down, "share int, gram long, sure array<double>, rest array<double>").groupBy("share")).applyInPandas(weighed, "chunk long, share int, logs binary"))
+    partial = partial.unionByName(answers, allowMissingColumns=True)
+
     def settled(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         """Documents of one chunk with the sums of all buckets."""
+        told, parts = parts[parts["logs"].notna()].sort_values("share"), parts[parts["logs"].isna()]
+        own = own.sort_values("row")
+        keys = [k for text in own["text"] for k in grams(text.decode("utf-8", "surrogatepass"))]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        log = np.empty(len(found))
+        log[np.argsort(bucket_of(found, CUT, shares), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in told["logs"]])
+        starts = np.concatenate(([0], np.cumsum(own["n_bytes"].to_numpy() + 1)[:-1])).astype(np.int64)
+        own = own.drop(columns="text").assign(score=np.add.reduceat(log[at], starts))
         own = own.sort_values("row").reset_index(drop=True)
         base, known = own["base_score"].to_numpy(float).copy(), own["n_known"].to_numpy(np.int64).copy()
         for x in parts.sort_values(["rows", "base"]).itertuples():
@@ -271,10 +412,10 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
             known[at] += widened(x.known).astype(np.int64)
         return own.assign(base_score=base, n_known=known)
 
-    result = (both.where("bucket IS NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes")
+    result = (both.where("n_bytes IS NOT NULL").select("chunk", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "text", "n_bytes")
               .groupBy("chunk").cogroup(partial.groupBy("chunk"))
               .applyInPandas(settled, f"chunk long, row int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
-                             "score double, n_bytes long"))
+                             "n_bytes long, score double"))
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * 3.321928094887362 / F.col("n_bytes"))
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
                          bits.alias("bits_per_byte"))

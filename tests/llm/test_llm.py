@@ -377,3 +377,37 @@ def test_pipeline_stages_follow_their_operators(spark, tmp_path):
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_deep_tree_matches_plain_recursion_and_learns_long_contexts(spark):
+    texts = ["abcabd" * 3, "zabcab", "", "xabcaq", "abcabc"] * 2
+    docs = frame(spark, texts)
+    rows = {r.doc_id: r for r in weighting.score_texts(docs).collect()}
+    train = [t.encode() + b"\xff" for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 10]
+    seen = Counter((b"\xff" * 7 + t[:i])[-7:][::-1] + t[i:i + 1] for t in train for i in range(len(t)))
+
+    def kt(a, b):
+        return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def walk(context, depth, level, node, bit, follow):
+        own = [sum(n for g, n in seen.items() if g[:depth] == context[:depth] and (256 | g[7]) >> (8 - level) == node and g[7] >> (7 - level) & 1 == v) for v in (0, 1)]
+        if not sum(own):
+            return 0.0, 0.5
+        log, p = kt(*own), (own[bit] + .5) / (sum(own) + 1)
+        if depth == 7:
+            return log, p
+        kids = {g[depth] for g in seen if g[:depth] == context[:depth]}
+        below = sum(walk(context[:depth] + bytes([k]), depth + 1, level, node, bit, False)[0] for k in kids)
+        whole = np.logaddexp(log, below) - math.log(2)
+        share = math.exp(log - math.log(2) - whole)
+        return whole, share * p + (1 - share) * walk(context, depth + 1, level, node, bit, True)[1] if follow else 0.0
+
+    for d in (0, 1, 3):
+        text, want = texts[d].encode() + b"\xff", 0.0
+        for i, byte in enumerate(text):
+            context = (b"\xff" * 7 + text[:i])[-7:][::-1]
+            want += sum(math.log10(walk(context, 0, level, (256 | byte) >> (8 - level), byte >> (7 - level) & 1, True)[1]) for level in range(8))
+        assert abs(rows[d].score - want) < 1e-4
+    # Digits and case four bytes back tell what follows.
+    long = frame(spark, ["".join(random.Random(i).choice(["1----x", "2----y", "A----u", "a----v"]) for _ in range(300)) for i in range(40)])
+    assert max(r.bits_per_byte for r in weighting.score_texts(long).collect()) < 0.6
