@@ -7,8 +7,8 @@ of the length-normalised difference of the two log-likelihoods.
 
 Labels are learned from a bounded sample: at most `sample` rows of each class in hash order, near copies among
 them left out. The
-tables keep at most `max_entries` bigrams and words, the most frequent first; everything else
-takes the backoff path. Scoring reads whole texts.
+tables keep every bigram and word of the sample that occurs twice or more, at any input size; single
+ones take the backoff path. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -112,15 +112,19 @@ def neutral() -> ToxicityModel:
                          np.array([-40.0, 0, 0, 0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 4_000,
-        max_entries: int = 1 << 17,
-        discounts: tuple = (0.5, 1.5)) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000,
+        max_entries: int | None = None,
+        discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
     """Learn from labelled rows outside fold `held`. Repeated labels of a document count once (the larger wins).
 
     A quarter of the sampled rows is kept back: it calibrates the score and picks the absolute discount,
     d, which may be above one. From a word, d + d * root(its count expected by the shared counts) is taken,
-    so that counts too small to tell the classes apart go to the shared backoff.
+    so that counts too small to tell the classes apart go to the shared backoff. `max_entries` is a bound for
+    comparisons only: the most frequent words and bigrams.
     """
+    def most(rows: DataFrame) -> DataFrame:
+        return rows if max_entries is None else rows.limit(max_entries)
+
     known = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .where(fold(folds) != held))
     order = F.xxhash64("doc_id", F.lit(7))
@@ -156,11 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
     expected = [F.col("shared") * (facts[f"k{c}"] / facts["shared"]) for c in (0, 1)]
     held = words.agg(*(F.sum(F.least(F.col(f"k{c}").cast("double"), d + d * F.sqrt(expected[c]))).alias(f"d{c}_{k}")
                        for c in (0, 1) for k, d in enumerate(discounts))).first()
-    kept = (words.join(histories, "word", "full_outer").na.fill(0).where("n >= 2 OR word = ''")
-            .orderBy(F.col("n").desc(), "word").limit(max_entries).toPandas())
+    kept = most(words.join(histories, "word", "full_outer").na.fill(0).where("n >= 2 OR word = ''")
+                .orderBy(F.col("n").desc(), "word")).toPandas()
     plain = kept[kept["word"] != ""]
     kept = pd.concat([pd.DataFrame({"word": ["\0unknown"]}), kept[kept["word"] == ""], plain]).fillna(0).reset_index(drop=True)
-    pairs = counted.where("n0 + n1 >= 2").orderBy((F.col("n0") + F.col("n1")).desc(), "h", "w").limit(max_entries).toPandas()
+    pairs = most(counted.where("n0 + n1 >= 2").orderBy((F.col("n0") + F.col("n1")).desc(), "h", "w")).toPandas()
 
     vocabulary = {w: i for i, w in enumerate(kept["word"]) if i > START}
     p_shared = (kept["shared"].to_numpy(float) + 0.5) / (facts["shared"] + 0.5 * (facts["types"] + 1))
@@ -171,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
     h, w = h[known_pair][by_key], w[known_pair][by_key]
     total = [np.maximum(kept[f"c{c}"].to_numpy(float), 1) for c in (0, 1)]
     number = [pairs[f"n{c}"].to_numpy(float)[known_pair][by_key] for c in (0, 1)]
-    models = []
+    keys, models = np.append(h << SHIFT | w, np.iinfo(np.int64).max), []
     for k, d in enumerate(discounts):
         cut = [d + d * np.sqrt(kept["shared"].to_numpy(float) * (facts[f"k{c}"] / facts["shared"])) for c in (0, 1)]
         lower = [(np.maximum(kept[f"k{c}"].to_numpy(float) - cut[c], 0) + held[f"d{c}_{k}"] * p_shared) / facts[f"k{c}"] for c in (0, 1)]
@@ -180,21 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
         flat = ToxicityModel(vocabulary, np.array(lower), np.ones((2, len(kept))), np.array([np.iinfo(np.int64).max]),
                              np.zeros((2, 2)), np.array([0.0, 1.0, 0.0, 0.0]))
         models.append(flat)
-        models.append(ToxicityModel(vocabulary, np.array(lower), np.array(backoff), np.append(h << SHIFT | w, np.iinfo(np.int64).max),
+        models.append(ToxicityModel(vocabulary, flat.lower, np.array(backoff), keys,
                                     np.pad(np.array(direct), ((0, 0), (0, 1))), np.array([0.0, 1.0, 0.0, 0.0])))
 
-    sent = [send(docs.sparkSession, model) for model in models]
+    # One broadcast: the models share their vocabulary and keys.
+    sent = docs.sparkSession.sparkContext.broadcast([vars(model) for model in models])
     schema = "toxic double, " + ", ".join(f"f{k} array<double>" for k in range(len(models)))
 
     def measure(batches):
-        own = [get() for get in sent]
+        own = [ToxicityModel(**data) for data in sent.value]
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"].astype(float)} | {
                 f"f{k}": [list(model.features(clear(t))) for t in pdf["text"]] for k, model in enumerate(own)})
 
     back = rows.where("calibrate").select("text", "toxic").mapInPandas(measure, schema).toPandas()
-    for get in sent:
-        get.data.destroy()
+    sent.destroy()
     if back["toxic"].nunique() < 2:
         return models[0]
     y, losses = back["toxic"].to_numpy(), []

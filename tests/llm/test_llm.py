@@ -411,3 +411,20 @@ def test_deep_tree_matches_plain_recursion_and_learns_long_contexts(spark):
     # Digits and case four bytes back tell what follows.
     long = frame(spark, ["".join(random.Random(i).choice(["1----x", "2----y", "A----u", "a----v"]) for _ in range(300)) for i in range(40)])
     assert max(r.bits_per_byte for r in weighting.score_texts(long).collect()) < 0.6
+
+
+def test_toxicity_keeps_rare_words_beside_a_large_vocabulary(spark):
+    rows, labels = [], []
+    for i in range(8):
+        filler = ["f%d" % k for k in range(140_000)]
+        random.Random(i).shuffle(filler)
+        rows.append((i, " ".join(filler), "en", "s", 1))
+        labels.append((i, 1, 0))
+    for i in range(100, 140):
+        rows.append((i, f"{prose(i, 30)} vile{i % 10}", "en", "s", 1))
+        labels.append((i, 1, int(i % 10 < 5)))
+        rows.append((i + 100, prose(i + 100, 30), "en", "s", 1))
+        labels.append((i + 100, 1, 1))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.fit(docs, marks).vocabulary
+    assert len(found) > 140_000 and any(w.startswith("vile") for w in found)
