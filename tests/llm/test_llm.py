@@ -428,3 +428,18 @@ def test_toxicity_keeps_rare_words_beside_a_large_vocabulary(spark):
     docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     found = toxicity.fit(docs, marks).vocabulary
     assert len(found) > 140_000 and any(w.startswith("vile") for w in found)
+
+
+def test_numbers_beside_numbers_are_proposed():
+    for text, kind, parts in (("2024-01-05 555-123-4567", "phone", ["555-123-4567"]), ("555-123-4567 555-987-6543", "phone", ["555-123-4567", "555-987-6543"]),
+                              ("4111/1111/1111/1111 12/26", "card", ["4111/1111/1111/1111"]), ("555-123-4567/555-987-6543", "phone", ["555-123-4567", "555-987-6543"]),
+                              ("10.0.0.1 10.0.0.2", "ip", ["10.0.0.1", "10.0.0.2"]), ("12 (555) 123-4567", "phone", ["(555) 123-4567"])):
+        found = [text[s:e] for k, s, e in pii.proposals(text) if k == kind]
+        assert set(parts) <= set(found) and len(found) == len(set(found))
+    assert len(pii.proposals("1 " * 20_000)) <= 20 * 20_000
+
+
+def test_whole_numbers_go_before_parts_of_numbers():
+    every = pii.BoostedTrees(5.0, [tuple(np.array([v], float if k in (1, 4) else np.int64) for k, v in enumerate((-1, 0, 0, 0, 0)))], 0.9)
+    for text, want in (("2024-01-05 555-123-4567", ["555-123-4567"]), ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"])):
+        assert [text[s:e] for _, s, e in pii.spans_of(text, every)[1]] == want
