@@ -244,3 +244,20 @@ def test_bootstrap_ignores_partitioning(spark):
     pairs = spark.range(400).selectExpr("cast(id as string) AS transaction_id", "100.0 AS actual_price", "100.0 + id % 7 AS old_price", "100.0 + id % 5 AS new_price")
     one, many = (paired_bootstrap(pairs.repartition(n), 300).first() for n in (1, 9))
     assert abs(one.low - many.low) < 1e-9 and abs(one.high - many.high) < 1e-9 and one.low < one.mae_difference < one.high
+
+
+def test_every_request_gives_one_row_with_status_and_reason(spark):
+    from hearthframe.operators import valuation as V
+    from hearthframe.plans import market as PM
+    sf = "/root/testdata/sf0.001"
+    odd = [(9001, "no such block", "SMALL", 20.0, 5.0), (9002, "B1", "no such type", 20.0, 5.0)]
+    asked = PM.requests(spark, sf)
+    asked = asked.unionByName(spark.createDataFrame(odd, asked.schema))
+    n = asked.count()
+    for value in (V.value_requests, V.value_partial_requests):
+        rows = value(asked, PM.blocks(spark, sf), PM.sales(spark, sf), PM.local_counts(spark, sf), PM.VALUATION_MONTH).collect()
+        got = {str(r.request_id): r for r in rows}
+        assert len(rows) == len(got) == n
+        assert got["9001"].valuation_note == "unknown_block" and got["9001"].lower_estimate is None
+        assert all((r.price_estimate is None) == (r.valuation_status == "not_valued") == (r.valuation_note is not None) for r in rows)
+        assert any(r.valuation_status == "estimated" for r in rows)
