@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, edits, hamming, language, minmax, pieces, pii, suffixes, toxicity, weighting
+from . import decontaminate, edits, hamming, infill, language, licenses, minmax, pieces, pii, suffixes, toxicity, weighting, whitening
 from .base import table
 
 #: Folder of the public vocabulary files, read on the driver only.
@@ -90,3 +91,26 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a window similar to a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of embeddings on the first 32 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents rearranged for fill-in-middle training, as digests."""
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+ORACLES["op12_fill_in_middle"] = infill.SQL
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every whole text of documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
