@@ -294,3 +294,40 @@ def paired_gains(pairs: DataFrame, dimensions: dict[str, Column], keys: Sequence
         F.avg(F.col("new_price") - F.col("actual_price")).alias("new_bias"),
         F.count_if(gain > 0.005).alias("new_wins"), F.count_if(gain < -0.005).alias("old_wins"),
         F.count_if(F.abs(gain) <= 0.005).alias("ties"))
+
+
+def paired_error_breakdown(rows: DataFrame, cuts: tuple[Column, Column, Column], min_group: int = K.MIN_GROUP_SIZE) -> DataFrame:
+    """Model against the comparable estimate on the same sales, by (dimension, town, group).
+
+    ``rows`` has one row per sale: town, flat_type, remaining_lease_months, transaction_month, actual_price, predicted_price,
+    lower_estimate, upper_estimate, and the comparable estimate as baseline_price, comparable_tier and comparable_count. ``cuts``
+    are the training quartiles that band the model's own price. Months are compared over all towns.
+    """
+    lease = M.lease_band(F.coalesce("remaining_lease_months", F.lit(0)))
+    town = F.col("town").cast("string")
+    keys = {"town": (town, town), "town_flat_type": (town, F.col("flat_type")), "town_lease_band": (town, lease),
+            "town_predicted_price_band": (town, M.quartile_band(F.col("predicted_price"), *cuts)),
+            "town_comparable_tier": (town, F.col("comparable_tier")),
+            "town_comparable_count_band": (town, M.count_band(F.coalesce("comparable_count", F.lit(0)))),
+            "transaction_month": (F.lit("ALL"), F.date_format("transaction_month", "yyyy-MM"))}
+    entries = F.array(*[F.struct(F.lit(name).alias("dimension"), t.alias("town"), g.cast("string").alias("group")) for name, (t, g) in keys.items()])
+    stacked = with_errors(rows).withColumn("baseline_error", F.abs(F.col("baseline_price") - F.col("actual_price"))).select(
+        F.inline(entries), "error", "abs_error", "ape", "baseline_error", covered().cast("double").alias("inside"))
+    by = ["dimension", "town", "group"]
+    out = stacked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sale_count"), F.avg("abs_error").alias("model_mae"), F.avg("baseline_error").alias("baseline_mae"),
+        F.avg("ape").alias("model_mape_pct"), F.avg("error").alias("model_mean_bias"), (F.avg("inside") * 100).alias("range_coverage_pct"))
+    out = join_quantiles(out, stacked, by, "abs_error", {"model_p90_absolute_error": 0.9}, finite=True)
+    return out.withColumn("model_minus_baseline_mae", F.col("model_mae") - F.col("baseline_mae")).withColumn(
+        "evidence_status", F.when(F.col("sale_count") < min_group, "limited_sales").when(F.col("model_mae") > F.col("baseline_mae"), "model_higher_mae")
+        .otherwise("model_lower_mae"))
+
+
+def worst_segments(segments: DataFrame, minimum: int = 100, k: int = 10) -> DataFrame:
+    """(dimension, town, group, priority): the k town and flat type pairs of at least ``minimum`` sales with the highest percentage error."""
+    from pyspark.sql import Window
+    order = Window.orderBy(F.col("model_mape_pct").desc(), F.col("sale_count").desc(), "town", "group")
+    big = segments.filter((F.col("dimension") == "town_flat_type") & (F.col("sale_count") >= minimum))
+    # The limit keeps the ranking window to k rows.
+    top = big.orderBy(F.col("model_mape_pct").desc(), F.col("sale_count").desc(), "town", "group").limit(k)
+    return top.select("dimension", "town", "group", F.row_number().over(order).alias("priority"))

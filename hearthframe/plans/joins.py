@@ -101,15 +101,19 @@ def _d9(spark, sf):
     return SN.snapshot_changes(listings(spark, sf)).drop("observed_at")
 
 
-@query("d10_ranking_inputs", f"""WITH {SEQ_SQL}
-SELECT l.listing_id, l.asking_price_sgd, c.change_type, cu.c_mktsegment FROM listings l JOIN changes c USING (source_site, run_id, listing_id)
-JOIN customer cu ON cu.c_custkey = l.listing_id WHERE l.source_site = 'view' AND l.run_id = 'W03'""")
+LATEST_SQL = """
+complete AS (SELECT source_site, run_id, max(last_seen) AS observed FROM (SELECT *, unnest(pages_seen) AS p FROM listings) GROUP BY 1, 2 HAVING count(DISTINCT p) = 8),
+latest AS (SELECT source_site, run_id FROM complete QUALIFY row_number() OVER (PARTITION BY source_site ORDER BY observed DESC, run_id DESC) = 1)"""
+
+
+@query("d10_ranking_inputs", f"""WITH {SEQ_SQL}, {LATEST_SQL}
+SELECT source_site, run_id, l.listing_id, l.asking_price_sgd, c.change_type, cu.c_mktsegment FROM listings l JOIN latest USING (source_site, run_id)
+JOIN changes c USING (source_site, run_id, listing_id) JOIN customer cu ON cu.c_custkey = l.listing_id""")
 def _d10(spark, sf):
     rows = listings(spark, sf)
-    one = rows.filter("source_site = 'view' AND run_id = 'W03'")
-    changes = SN.snapshot_changes(rows).select(*SN.KEY, "change_type")
+    latest = SN.latest_complete_runs(rows.withColumn("total_pages", F.lit(8))).select("source_site", "run_id")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("listing_id"), "c_mktsegment")
-    return one.join(changes, SN.KEY).join(c, "listing_id").select("listing_id", "asking_price_sgd", "change_type", "c_mktsegment")
+    return SN.ranking_inputs(rows, latest, c)
 
 
 @query("d11_rules_cross_join", """

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthframe.functions import measures as M
+from hearthframe.operators import comparables as C
 from hearthframe.operators import ordered as O
 from hearthframe.operators import quality as Q
 from hearthframe.operators import repeat_sales as RS
 from hearthframe.operators import snapshots as SN
 from hearthframe.operators import stats as S
 from hearthframe.operators.lookups import modes
+from hearthframe.plans.comparables import UNITS_SQL, pairs_sql
 from hearthframe.plans.joins import SEQ_SQL, grouped_sales, paired
 from hearthframe.plans.registry import query
 from hearthframe.plans.scalars import SQL_LEASE_BAND
+from hearthframe.session import materialise
 from hearthframe.sources.tables import (
     LISTINGS_SQL, OBSERVATIONS_SQL, PREDICTIONS_SQL, SALES_SQL, SPLIT_SQL, listings, predictions, raw_observations, sales,
     table, with_split)
@@ -89,20 +92,38 @@ def _e5(spark, sf):
     return rounded(S.reliability(d, ref), [*keys, "prediction_count", "reliability_status"], ["mae_vs_selected"], 3)
 
 
-@query("e6_paired_error_breakdown", f"""WITH {PREDICTIONS_SQL},
-x AS (SELECT a.town, a.flat_type, a.actual_price, a.predicted_price AS o, b.predicted_price AS w FROM predictions a JOIN predictions b USING (transaction_id, dataset_split)
-  WHERE a.model_id='MODEL_A' AND b.model_id='MODEL_B' AND dataset_split='test')
-SELECT town, flat_type, count(*) AS sales, round(avg(abs(w-actual_price)) - avg(abs(o-actual_price)), 6) AS mae_difference, round(avg(abs(w-actual_price)/actual_price*100), 6) AS mape_pct,
-  CASE WHEN count(*) < 30 THEN 'limited_sales' WHEN avg(abs(w-actual_price)) > avg(abs(o-actual_price)) THEN 'model_higher_mae' ELSE 'model_lower_mae' END AS evidence_status
-FROM x GROUP BY ALL""")
+_TEST = "SELECT * FROM split_sales WHERE dataset_split = 'test'"
+
+
+@query("e6_paired_error_breakdown", f"""WITH {PREDICTIONS_SQL}, {pairs_sql(_TEST)},
+w AS (SELECT tid, price, sum({UNITS_SQL}) AS u, any_value(tier) AS tier, count(*) AS n FROM winning GROUP BY tid, price),
+c AS (SELECT tid, price, tier, sum(u) OVER (PARTITION BY tid ORDER BY price) AS cum, sum(u) OVER (PARTITION BY tid) AS total, sum(n) OVER (PARTITION BY tid) AS sales_behind FROM w),
+base AS (SELECT tid, min(price) FILTER (cum >= total * 0.5) AS baseline_price, any_value(tier) AS tier, max(sales_behind) AS n FROM c GROUP BY tid),
+cuts AS (SELECT quantile_cont(resale_price, 0.25) AS q1, quantile_cont(resale_price, 0.5) AS q2, quantile_cont(resale_price, 0.75) AS q3 FROM split_sales WHERE dataset_split = 'train'),
+x AS (SELECT p.*, baseline_price, tier, n, abs(predicted_price - actual_price) AS ae, q1, q2, q3 FROM predictions p JOIN base ON tid = transaction_id, cuts WHERE model_id = 'MODEL_B' AND dataset_split = 'test'),
+d AS (SELECT *, 'town' AS dimension, town AS t, town AS g FROM x UNION ALL SELECT *, 'town_flat_type', town, flat_type FROM x UNION ALL SELECT *, 'town_lease_band', town, {SQL_LEASE_BAND} FROM x
+ UNION ALL SELECT *, 'town_predicted_price_band', town, CASE WHEN predicted_price <= q1 THEN 'Q1' WHEN predicted_price <= q2 THEN 'Q2' WHEN predicted_price <= q3 THEN 'Q3' ELSE 'Q4' END FROM x
+ UNION ALL SELECT *, 'town_comparable_tier', town, tier FROM x UNION ALL SELECT *, 'town_comparable_count_band', town, CASE WHEN n < 5 THEN '<5' WHEN n < 20 THEN '5-19' ELSE '20+' END FROM x
+ UNION ALL SELECT *, 'transaction_month', 'ALL', strftime(transaction_month, '%Y-%m') FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension, t, g ORDER BY ae) AS rn, count(*) OVER (PARTITION BY dimension, t, g) AS cnt FROM d),
+s AS (SELECT dimension, t AS town, g AS "group", count(*) AS sale_count, avg(ae) AS m, avg(abs(baseline_price - actual_price)) AS b, avg(ae / actual_price * 100) AS mape, avg({_ERR}) AS bias,
+ max(ae) FILTER (rn = least(cnt, greatest(1, CAST(ceil((cnt + 1) * 0.9::DOUBLE) AS BIGINT)))) AS p90, avg(CAST(actual_price BETWEEN lower_estimate AND upper_estimate AS DOUBLE)) * 100 AS cov FROM r GROUP BY ALL),
+top AS (SELECT town, "group", row_number() OVER (ORDER BY mape DESC, sale_count DESC, town, "group") AS priority FROM s WHERE dimension = 'town_flat_type' AND sale_count >= 100 QUALIFY priority <= 10)
+SELECT s.dimension, s.town, s."group", sale_count, round(m + 3e-7::DOUBLE, 4) AS model_mae, round(b + 3e-7::DOUBLE, 4) AS baseline_mae, round(m - b + 3e-7::DOUBLE, 4) AS model_minus_baseline_mae,
+ round(mape + 3e-7::DOUBLE, 4) AS model_mape_pct, round(bias + 3e-7::DOUBLE, 4) AS model_mean_bias, round(p90 + 3e-7::DOUBLE, 4) AS model_p90_absolute_error, round(cov + 3e-7::DOUBLE, 4) AS range_coverage_pct,
+ CASE WHEN sale_count < 30 THEN 'limited_sales' WHEN m > b THEN 'model_higher_mae' ELSE 'model_lower_mae' END AS evidence_status, CAST(priority AS INT) AS priority
+FROM s LEFT JOIN top ON s.dimension = 'town_flat_type' AND top.town = s.town AND top."group" = s."group" """)
 def _e6(spark, sf):
-    x = paired(predictions(spark, sf).filter("dataset_split = 'test'"))
-    new, old = F.abs(F.col("new_price") - F.col("actual_price")), F.abs(F.col("old_price") - F.col("actual_price"))
-    g = x.groupBy("town", "flat_type").agg(
-        F.count(F.lit(1)).alias("sales"), F.round(F.avg(new) - F.avg(old), 6).alias("mae_difference"),
-        F.round(F.avg(new / F.col("actual_price") * 100), 6).alias("mape_pct"),
-        F.when(F.count(F.lit(1)) < 30, "limited_sales").when(F.avg(new) > F.avg(old), "model_higher_mae").otherwise("model_lower_mae").alias("evidence_status"))
-    return g
+    base = with_split(sales(spark, sf))
+    found = C.estimate_targets(base.filter("dataset_split = 'test'"), base).filter("weighted_price IS NOT NULL").select(
+        "transaction_id", F.col("weighted_price").alias("baseline_price"), "comparable_tier", "comparable_count")
+    model = predictions(spark, sf).filter("model_id = 'MODEL_B' AND dataset_split = 'test'")
+    cuts = S.training_quartiles(base.filter("dataset_split = 'train'"), "resale_price")
+    segments = materialise(S.paired_error_breakdown(model.join(found, "transaction_id"), cuts), "segments")
+    keys = ["dimension", "town", "group"]
+    measures = ["model_mae", "baseline_mae", "model_minus_baseline_mae", "model_mape_pct", "model_mean_bias", "model_p90_absolute_error", "range_coverage_pct"]
+    out = segments.join(S.worst_segments(segments), keys, "left")
+    return rounded(out, [*keys, "sale_count", "evidence_status", "priority"], measures)
 
 
 @query("e7_percentile_linear", "SELECT l_shipmonth, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM (SELECT month(l_shipdate) AS l_shipmonth, l_extendedprice FROM lineitem) GROUP BY 1")
