@@ -20,7 +20,8 @@ N (?:use of this source code is )?governed by an? <mit style license>
 N (?:under|with) (?:the )?<mit expat license>
 C <osi approved mit> license
 U <opensource org licenses mit>(?: license)?(?: php| html)?
-U (?:choosealicense com licenses <mit>|mit license org)
+U <choosealicense com licenses mit>
+U <mit license org>
 M (?:the )?<mit license>
 M <expat license>
 mit-0 = mit 0

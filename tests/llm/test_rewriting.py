@@ -106,7 +106,7 @@ def test_signatures(text, labels):
 
 
 def test_every_rule_is_gated_by_a_word_that_its_matches_contain():
-    import sre_parse
+    from re import _parser as sre_parse
 
     def needed(tree):
         """Literal text that every match of a regex holds, runs of it apart by newlines."""
@@ -192,5 +192,5 @@ def test_filter_damps_and_raises():
     q = np.eye(5)
     out = whitening.filtered(q, v @ q, lambda y: v @ y, 8, 0.0, 1.0, 5.0)
     # Chebyshev polynomials in their closed form, scaled to 1 at the top value.
-    at = lambda x: np.cosh(8 * np.arccosh(x)) if abs(x) >= 1 else np.cos(8 * np.arccos(x))
+    at = lambda x: np.cosh(8 * np.arccosh(x)) if x > 1 else np.cos(8 * np.arccos(x))
     assert np.allclose(np.diag(out), [at(2 * x - 1) / at(9.0) for x in values])
