@@ -88,15 +88,13 @@ def residual_frame(df: DataFrame) -> DataFrame:
 def estimator(kind: str, rows: int, **over):
     """MLlib estimator of a model family.
 
-    MLlib trees have neither Huber nor quantile loss: the robust and the boosted
-    families use absolute loss, and quantiles come from leaf members of a forest.
+    The boosted family uses absolute loss and quantile trees the leaf members of a forest; Huber and quantile
+    boosting are in ``boosting``.
     """
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     if kind == "ridge":
         return LinearRegression(regParam=over.get("alpha", 20.0) / rows, elasticNetParam=0.0, standardization=False, solver="normal")
     common = {"seed": 42, "maxBins": over.get("max_bins", 64)}
-    if kind == "gbt_robust":
-        return GBTRegressor(lossType="absolute", maxIter=over.get("trees", 220), maxDepth=3, stepSize=0.04, minInstancesPerNode=15, **common)
     if kind == "boosted":
         return GBTRegressor(lossType="absolute", maxIter=over.get("trees", 650), maxDepth=over.get("depth", 6), stepSize=0.04,
                             validationIndicatorCol="is_validation", **common)
@@ -125,9 +123,12 @@ def fit(kind: str, train: DataFrame, validation: DataFrame | None = None, **over
 
 def predict(model, df: DataFrame, model_id: str) -> DataFrame:
     """max(1, anchor + residual) with the model's id."""
-    scored = model.transform(df)
-    return scored.withColumn("predicted_price", F.greatest(F.lit(1.0), F.col("anchor_price") + F.col("prediction"))) \
-        .withColumn("model_id", F.lit(model_id))
+    return anchored(model.transform(df), model_id)
+
+
+def anchored(scored: DataFrame, model_id: str) -> DataFrame:
+    price = F.greatest(F.lit(1.0), F.col("anchor_price") + F.col("prediction"))
+    return scored.withColumn("predicted_price", price).withColumn("model_id", F.lit(model_id))
 
 
 def prediction_rows(scored: DataFrame) -> DataFrame:
