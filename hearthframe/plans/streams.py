@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthframe.operators.snapshots import run_sequence
 from hearthframe.plans.joins import SEQ_SQL
 from hearthframe.plans.registry import query
-from hearthframe.session import new_path
-from hearthframe.sources.tables import LISTINGS_SQL, OBSERVATIONS_SQL, raw_observations
+from hearthframe.session import materialise, new_path
+from hearthframe.sources.tables import LISTINGS_SQL, OBSERVATIONS_SQL, listings, raw_observations
 from hearthframe.streaming import pages as P
 
 
@@ -19,6 +20,19 @@ def observation_stream(spark, sf):
     return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def timed_stream(spark, sf, slices=5):
+    """The observations as they were made, one file after the other by time."""
+    o = raw_observations(spark, sf).withColumn("page_number", F.col("page_number").cast("int"))
+    path, staged = new_path(spark, "arrivals"), materialise(o, "observations")
+    ends = staged.selectExpr("min(observed_at) AS a", "max(observed_at) AS b").first()
+    span = (ends["b"] - ends["a"]) / slices
+    for i in range(slices):
+        part = staged.filter(F.col("observed_at") >= ends["a"] + i * span)
+        part = part if i == slices - 1 else part.filter(F.col("observed_at") < ends["a"] + (i + 1) * span)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("l1_page_ingest_stream", f"WITH {LISTINGS_SQL} SELECT source_site, run_id, listing_id, first_seen, last_seen, asking_price_sgd, array_to_string(pages_seen, ',') AS pages FROM listings")
 def _l1(spark, sf):
     merged = P.ingest_stream(observation_stream(spark, sf), spark)
@@ -28,9 +42,9 @@ def _l1(spark, sf):
 @query("l2_run_progress_stream", f"""WITH {OBSERVATIONS_SQL} SELECT source_site, run_id, count(DISTINCT page_number) AS saved_pages, 10 - count(DISTINCT page_number) AS missing_pages,
   count(DISTINCT listing_id) AS unique_listing_ids, CASE WHEN count(DISTINCT page_number) = 10 THEN 'complete' ELSE 'partial' END AS status FROM observations GROUP BY 1, 2""")
 def _l2(spark, sf):
-    return P.progress_stream(observation_stream(spark, sf), spark, 10)
+    return P.progress_stream(timed_stream(spark, sf), spark, 10)
 
 
 @query("l3_change_stream", f"WITH {SEQ_SQL} SELECT * FROM changes")
 def _l3(spark, sf):
-    return P.change_stream(observation_stream(spark, sf), spark).drop("observed_at")
+    return P.change_stream(timed_stream(spark, sf), spark, run_sequence(listings(spark, sf)))
