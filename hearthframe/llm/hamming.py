@@ -10,8 +10,6 @@ queries are one search, so a vector that a third of all rows share costs no more
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,12 +39,20 @@ def distance(left: str, right: str):
     return F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, width: int = 16) -> DataFrame:
+def fitting_width(rows: DataFrame) -> int:
+    """Bits of a segment: log2 of the number of rows, 4 to 16, so that a value of a segment has about one code."""
+    return min(16, max(4, rows.count().bit_length()))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, distance: the k rows of `rows` nearest to each row of `queries`, a query's own row included.
 
-    Ties go to the smaller id. Codes compare only with codes of as many bits. Rows or queries without an id or an embedding
-    take no part; a repeated id counts once for each different code; fewer than k rows give fewer results.
+    Segments have `width` bits, by default `fitting_width`; the result does not depend on it. Ties go to the smaller id.
+    Codes compare only with codes of as many bits. Rows or queries without an id or an embedding take no part; a repeated id
+    counts once for each different code; fewer than k rows give fewer results.
     """
+    width = width or fitting_width(rows)
+    spark = rows.sparkSession
     coded = binary_codes(rows, width).select("bits", "code", "segments", "vec_id").distinct()
     few = Window.partitionBy("bits", "code").orderBy("vec_id")
     # The k smallest ids of each code: Spark applies the limit below the shuffle as well.
@@ -61,10 +67,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, width: int = 16) -
     for r in range(width + 1):
         if open_.isEmpty():
             break
-        masks = [sum(1 << b for b in chosen) for chosen in combinations(range(width), r)]
+        # One value in the plan, however many masks there are.
+        masks = spark.range(1 << width).where(F.bit_count("id") == r).agg(F.collect_list("id").alias("masks")).scalar()
         probes = (open_.select("query", "bits", F.col("code").alias("asked"), F.posexplode("segments").alias("segment", "own"))
-                  .select("query", "bits", "asked", "segment", F.explode(F.array(*map(F.lit, masks))).alias("mask"), "own")
-                  .withColumn("value", F.col("own").bitwiseXOR(F.col("mask").cast("long"))))
+                  .select("query", "bits", "asked", "segment", "own", masks.alias("masks"))
+                  .select("query", "bits", "asked", "segment", "own", F.explode("masks").alias("mask"))
+                  .withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))))
         found = (probes.join(index, ["bits", "segment", "value"]).select("query", "ids", distance("asked", "code").alias("distance"))
                  .select("query", "distance", "ids").distinct())
         # Each code adds its smallest id first, so its k best codes hold the k best ids of a query.
