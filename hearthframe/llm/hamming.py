@@ -73,7 +73,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, width: int | None
                   .select("query", "bits", "asked", "segment", "own", masks.alias("masks"))
                   .select("query", "bits", "asked", "segment", "own", F.explode("masks").alias("mask"))
                   .withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))))
-        found = (probes.join(index, ["bits", "segment", "value"]).select("query", "ids", distance("asked", "code").alias("distance"))
+        # Spark takes exploded probes for as small as the queries they come from, so it must not choose to broadcast them.
+        found = (probes.hint("merge").join(index, ["bits", "segment", "value"]).select("query", "ids", distance("asked", "code").alias("distance"))
                  .select("query", "distance", "ids").distinct())
         # Each code adds its smallest id first, so its k best codes hold the k best ids of a query.
         found = found.withColumn("id", F.col("ids")[0]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
