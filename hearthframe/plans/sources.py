@@ -9,6 +9,7 @@ from hearthframe.plans.registry import query
 from hearthframe.session import new_path
 from hearthframe.sources import readers as R
 from hearthframe.sources import sinks as W
+from hearthframe.sources.published import PublishedTable, clustered_write
 from hearthframe.sources.tables import (
     SALES_SQL, SPLIT_SQL, blocks, raw_observations, sales, table, with_split, OBSERVATIONS_SQL, predictions, PREDICTIONS_SQL)
 
@@ -120,7 +121,10 @@ def _a11(spark, sf):
 def _a12(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     new = o.filter("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.lit(0.0))
-    return W.replace_by_key(o, new, ["o_orderpriority"]).drop("o_orderpriority")
+    orders = PublishedTable(spark, new_path(spark, "orders"), o.schema, ["o_orderpriority"])
+    orders.replace(o)
+    orders.replace(new)
+    return orders.read().drop("o_orderpriority")
 
 
 @query("a13_update_from", """
@@ -129,14 +133,20 @@ FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GR
 def _a13(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     u = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
-    return W.update_from(c, u, ["c_custkey"], ["c_acctbal"], F.col("c_mktsegment") == "BUILDING").drop("c_mktsegment")
+    customers = PublishedTable(spark, new_path(spark, "customers"), c.schema, ["c_mktsegment"])
+    customers.replace(c)
+    customers.update(u, ["c_custkey"], ["c_acctbal"], F.col("c_mktsegment") == "BUILDING")
+    return customers.read().drop("c_mktsegment")
 
 
 @query("a14_append_run_history", f"WITH {OBSERVATIONS_SQL} SELECT run_id, CASE WHEN run_id = 'W03' THEN count(*) * 10 ELSE count(*) END AS n FROM observations GROUP BY run_id")
 def _a14(spark, sf):
     runs = raw_observations(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     current = runs.filter("run_id = 'W03'").withColumn("n", F.col("n") * 10)
-    return W.append_run(runs, current)
+    history = PublishedTable(spark, new_path(spark, "runs"), runs.schema, ["run_id"])
+    history.replace(runs)
+    history.replace(current)
+    return history.read()
 
 
 @query("a15_nested_evidence_sink", """
@@ -152,7 +162,9 @@ def _a15(spark, sf):
 
 @query("a16_bounded_read_pushdown", f"WITH {SALES_SQL} SELECT transaction_id, resale_price FROM sales WHERE town='TOWN 16' AND flat_type='SMALL' AND transaction_month < DATE '1999-01-01'")
 def _a16(spark, sf):
-    return R.bounded_read(sales(spark, sf), ["transaction_id", "resale_price"], "TOWN 16", "SMALL", F.lit("1999-01-01").cast("date"))
+    rows = sales(spark, sf).select("transaction_id", "transaction_month", "town", "flat_type", "resale_price")
+    stored = clustered_write(rows, new_path(spark, "sales-by-town"), ["town"], ["flat_type", "transaction_month"])
+    return R.bounded_read(stored, ["transaction_id", "resale_price"], "TOWN 16", "SMALL", F.lit("1999-01-01").cast("date"))
 
 
 @query("a17_dated_filter_builder", f"WITH {SALES_SQL} SELECT flat_type, count(*) AS n FROM sales WHERE flat_type IN ('SMALL','LARGE') AND transaction_month BETWEEN DATE '1997-01-01' AND DATE '1998-12-01' GROUP BY 1")
