@@ -1,14 +1,15 @@
-"""Toxicity from two Kneser-Ney bigram models that share their lowest order.
-
-Both classes back off from bigrams to class continuation counts and from there to one
-distribution of continuation counts over both classes, so an expression too rare to tell the
-classes apart contributes about the same to either. The score is a calibrated logistic function
-of the length-normalised difference of the two log-likelihoods.
-
-Labels are learned from a bounded sample: at most `sample` rows of each class in hash order, near copies among
-them left out. The
-tables keep every bigram and word of the sample that occurs twice or more, at any input size; single
-ones take the backoff path. Scoring reads whole texts.
+"""Toxicity from two interpolated Kneser-Ney bigram models that share their lowest order.
+
+Both classes back off from bigrams to class continuation counts and from there to one distribution of continuation
+counts over both classes, so an expression too rare to tell the classes apart contributes about the same to either.
+What discounting takes goes to the lower order whole, so each class's probabilities sum to one over all words and the
+unknown one. The score is a logistic function of the length-normalised difference of the two log-likelihoods, calibrated on
+the natural mix of the classes.
+
+Labels are learned from a bounded sample: of each class at most `sample` rows and `characters` of text, in hash order, near
+copies among them left out. Counts, probabilities and their ratios are Spark tables with every n-gram of the sample, single
+ones included; of them the driver gets a 64-bit hash and a float for each n-gram, which is bounded by `characters`. Scoring
+reads whole texts.
 """
 
 from __future__ import annotations
@@ -19,69 +20,94 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .base import clear, fold, pieces, send
 from .minmax import signatures
-from .shingles import Hasher
+from .shingles import Hasher, mix
 
 WORD = re.compile(r"\w+")
-SHIFT = 21
-UNKNOWN, START = 0, 1
+START = 0
 SKETCHES = 4
+#: Words remembered with their hash in a task.
+MEMO = 1 << 18
+
+
+class Hashes(dict):
+    """Hash of each word, never that of the start."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) - (1 << 63)
+        return found
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(history.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + word.view(np.uint64)).view(np.int64)
+
+
+def bigrams(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and words of the whole text in order; the history of the first word is START."""
+    own = [np.array([hashes[w] for w in WORD.findall(piece.lower())], np.int64) for piece in pieces(text)]
+    words = np.concatenate(own)
+    return np.concatenate(([START], words[:-1])).astype(np.int64) if len(words) else words, words
 
 
 @dataclass
 class ToxicityModel:
-    """Arrays of one fitted model; index 0 of a pair is the ordinary class, 1 the toxic class."""
-
-    vocabulary: dict
-    lower: np.ndarray      # [2, words] backed-off unigram probability
-    backoff: np.ndarray    # [2, words] weight left to the lower order after this history
-    keys: np.ndarray       # sorted history << SHIFT | word, ended by the largest integer
-    direct: np.ndarray     # [2, keys + 1] discounted bigram probability, 0 at the end
+    """Log ratios, toxic over ordinary, of one fitted model; tables are sorted by hash."""
+
+    words: np.ndarray
+    lower: np.ndarray      # of each word's backed-off probability
+    back: np.ndarray       # of the weight that each word as history leaves to the lower order
+    unknown: float         # of an unknown word
+    keys: np.ndarray
+    direct: np.ndarray     # of each bigram's probability
     weights: np.ndarray    # of the calibrating logistic function over features()
 
-    def ratios(self, text: str) -> np.ndarray:
-        """log p(toxic) - log p(ordinary) of each distinct bigram of the whole text; a repeated one counts once."""
-        seen, last = [], START
-        find = self.vocabulary.get
-        for piece in pieces(text):
-            ids = np.array([find(w, UNKNOWN) for w in WORD.findall(piece.lower())], np.int64)
-            if len(ids):
-                seen.append(np.unique(np.concatenate(([last], ids[:-1])) << SHIFT | ids))
-                last = ids[-1]
-        key = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, key)
-        at[self.keys[at] != key] = len(self.keys)
-        p = self.direct[:, at] + self.backoff[:, key >> SHIFT] * self.lower[:, key & ((1 << SHIFT) - 1)]
-        return np.log(p[1]) - np.log(p[0])
-
-    def features(self, text: str) -> tuple[float, ...]:
-        """1, the mean ratio, and the evidence beyond one nat over the length and over its root."""
-        found = self.ratios(text)
-        n, strong = max(len(found), 1), float(np.maximum(found - 1, 0).sum())
-        return (1.0, float(found.sum()) / n, strong / n, strong / n ** 0.5)
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -40, 40))))
+    def find(self, table: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.full(len(wanted), other), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        hit = table[at] == wanted
+        return np.where(hit, values[at], other).astype(float), hit
+
+    def ratios(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct bigram: by the lower order alone, and interpolated. A repeated bigram counts once."""
+        key, first = np.unique(pair_keys(history, word), return_index=True)
+        lower = self.find(self.words, self.lower, word[first], self.unknown)[0]
+        backed = lower + self.find(self.words, self.back, history[first], 0.0)[0]
+        direct, hit = self.find(self.keys, self.direct, key, 0.0)
+        return lower, np.where(hit, direct, backed)
+
+    def features(self, history: np.ndarray, word: np.ndarray) -> tuple[float, ...]:
+        """1, then of both orders the mean ratio, and the evidence beyond one nat over the length and over its root."""
+        out = [1.0]
+        for found in self.ratios(history, word):
+            n, strong = max(len(found), 1), float(np.maximum(found - 1, 0).sum())
+            out += [float(found.sum()) / n, strong / n, strong / n ** 0.5]
+        return tuple(out)
+
+    def score(self, history: np.ndarray, word: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(history, word)), -40, 40))))
 
 
 def bigram_counts(batches):
-    """Per batch: (history, word, ordinary count, toxic count); the history of a first word is empty."""
+    """Per batch: key, history, word, ordinary count, toxic count."""
+    hashes = Hashes()
     for pdf in batches:
         counts = Counter(), Counter()
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            last, own = "", counts[int(toxic)]
-            for piece in pieces(clear(text)):
-                words = WORD.findall(piece.lower())
-                own.update(zip([last, *words], words))
-                last = words[-1] if words else last
-        both = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"h": [b[0] for b in both], "w": [b[1] for b in both],
-                            "n0": [counts[0][b] for b in both], "n1": [counts[1][b] for b in both]})
+            history, word = bigrams(clear(text), hashes)
+            counts[int(toxic)].update(zip(history.tolist(), word.tolist()))
+        both = np.array(list(counts[0].keys() | counts[1].keys()), np.int64).reshape(-1, 2)
+        pairs = list(map(tuple, both.tolist()))
+        yield pd.DataFrame({"key": pair_keys(both[:, 0].copy(), both[:, 1].copy()), "h": both[:, 0], "w": both[:, 1],
+                            "n0": [counts[0][p] for p in pairs], "n1": [counts[1][p] for p in pairs]})
 
 
 def sketched(batches):
@@ -108,94 +134,117 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
 
 def neutral() -> ToxicityModel:
     """Without two classes to learn from, every text scores 0."""
-    return ToxicityModel({}, np.ones((2, 2)), np.ones((2, 2)), np.array([np.iinfo(np.int64).max]), np.zeros((2, 2)),
-                         np.array([-40.0, 0, 0, 0]))
+    none = np.zeros(0, np.int64)
+    return ToxicityModel(none, none, none, 0.0, none, none, np.array([-40.0, 0, 0, 0, 0, 0, 0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000,
-        max_entries: int | None = None,
-        discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
-    """Learn from labelled rows outside fold `held`. Repeated labels of a document count once (the larger wins).
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, characters: int) -> DataFrame:
+    """(doc_id, text, toxic, calibrate): rows outside fold `held` within the bounds, without near copies inside a class.
 
-    A quarter of the sampled rows is kept back: it calibrates the score and picks the absolute discount,
-    d, which may be above one. From a word, d + d * root(its count expected by the shared counts) is taken,
-    so that counts too small to tell the classes apart go to the shared backoff. `max_entries` is a bound for
-    comparisons only: the most frequent words and bigrams.
+    Repeated labels of a document count once (the larger wins).
     """
-    def most(rows: DataFrame) -> DataFrame:
-        return rows if max_entries is None else rows.limit(max_entries)
-
     known = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .where(fold(folds) != held))
     order = F.xxhash64("doc_id", F.lit(7))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    sizes = known.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    # As many rows of one class as of the other: equal evidence gives equal backoff weights.
-    chosen = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(min(sample, *sizes)) for c in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1]).withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)
+    sizes = docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.sum(F.length("text")).alias("size"))
+    known = known.join(sizes, "doc_id")
+    chosen = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
+    # At most `sample` rows of a class are left to be ordered.
+    upto = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    picked = (chosen[0].unionByName(chosen[1]).withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") < characters)
+              .select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0).alias("calibrate")))
     # At most 2 * sample ids, so the broadcast has a fixed bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
     # Copies of one text would pass for evidence: a row goes if any of its sketches has an earlier row of its class.
-    rows = materialise(rows.where("text IS NOT NULL").select("doc_id", "text", "toxic", "calibrate").mapInPandas(
+    rows = materialise(rows.select("doc_id", "text", "toxic", "calibrate").mapInPandas(
         sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, toxic int, calibrate boolean, sketch array<long>"), "toxic-sample")
     for k in range(SKETCHES):
         same = Window.partitionBy("toxic", F.get("sketch", k))
         rows = rows.withColumn(f"first{k}", F.min("doc_id").over(same) == F.col("doc_id"))
-    rows = rows.where(" AND ".join(f"first{k}" for k in range(SKETCHES))).select("text", "toxic", "calibrate")
-    counted = materialise(rows.where("NOT calibrate").select("text", "toxic")
-                          .mapInPandas(bigram_counts, "h string, w string, n0 long, n1 long")
-                          .groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-bigrams")
-
-    def held_mass(column: str) -> list:
-        """What absolute discounting takes from each class and leaves to the lower order, for each discount."""
-        return [F.sum(F.least(F.col(f"{column}{c}").cast("double"), F.lit(d))).alias(f"d{c}_{k}")
-                for c in (0, 1) for k, d in enumerate(discounts)]
-
-    histories = counted.groupBy(F.col("h").alias("word")).agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *held_mass("n"))
-    words = counted.groupBy(F.col("w").alias("word")).agg(
-        *(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)), F.count("*").alias("shared"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
+    return rows.where(" AND ".join(f"first{k}" for k in range(SKETCHES))).select("doc_id", "text", "toxic", "calibrate")
+
+
+@dataclass
+class Probabilities:
+    """Tables of the two models under each discount d: columns end in the class and the number of the discount."""
+    words: DataFrame       # w, lower<c>_<k>
+    histories: DataFrame   # h, back<c>_<k>
+    pairs: DataFrame       # key, h, w, p<c>_<k>
+    unknown: dict          # (c, k) to the lower order's probability of the unknown word
+    discounts: tuple
+
+
+def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
+    """Interpolated probabilities of all counted bigrams (key, h, w, n0, n1); None unless both classes have some.
+
+    Bigrams are discounted by d. From a continuation count, d + d * root(the count expected by the shared counts) is
+    taken, so that counts too small to tell the classes apart go to the shared backoff. What is taken from a count,
+    at most the count itself, is the lower order's weight.
+    """
+    both = [(c, k) for c in (0, 1) for k in range(len(discounts))]
+    words = materialise(counted.groupBy("w").agg(*(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)), F.count("*").alias("shared")), "toxic-words")
     facts = words.agg(F.count("*").alias("types"), F.sum("shared").alias("shared"), *(F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1))).first()
     if not facts["k0"] or not facts["k1"]:
+        return None
+
+    def taken(c: int, k: int) -> Column:
+        d = discounts[k]
+        return F.least(F.col(f"k{c}").cast("double"), d + d * F.sqrt(F.col("shared") * (facts[f"k{c}"] / facts["shared"])))
+    held = words.agg(*(F.sum(taken(c, k)).alias(f"t{c}_{k}") for c, k in both)).first()
+    base = facts["shared"] + 0.5 * (facts["types"] + 1)
+    shared = (F.col("shared") + 0.5) / base
+    unknown = {(c, k): held[f"t{c}_{k}"] * 0.5 / base / facts[f"k{c}"] for c, k in both}
+    lower = words.select("w", *(((F.col(f"k{c}") - taken(c, k) + held[f"t{c}_{k}"] * shared) / facts[f"k{c}"]).alias(f"lower{c}_{k}") for c, k in both))
+
+    def cut(c: int, k: int) -> Column:
+        return F.least(F.col(f"n{c}").cast("double"), F.lit(float(discounts[k])))
+    sums = counted.groupBy("h").agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum(cut(c, k)).alias(f"m{c}_{k}") for c, k in both))
+    histories = materialise(sums.select("h", "c0", "c1", *(F.when(F.col(f"c{c}") > 0, F.col(f"m{c}_{k}") / F.col(f"c{c}")).otherwise(1.0).alias(f"back{c}_{k}")
+                                                           for c, k in both)), "toxic-histories")
+    joined = counted.join(lower, "w").join(histories, "h")
+    direct = {(c, k): F.coalesce(F.try_divide(F.col(f"n{c}") - cut(c, k), F.col(f"c{c}")), F.lit(0.0)) for c, k in both}
+    pairs = joined.select("key", "h", "w", *((direct[c, k] + F.col(f"back{c}_{k}") * F.col(f"lower{c}_{k}")).alias(f"p{c}_{k}") for c, k in both))
+    return Probabilities(lower, histories.drop("c0", "c1"), pairs, unknown, discounts)
+
+
+def model_arrays(found: Probabilities) -> list[ToxicityModel]:
+    """A model for each discount; they share their hashes."""
+    numbers = range(len(found.discounts))
+
+    def ratios(df: DataFrame, key: str, name: str) -> pd.DataFrame:
+        columns = [F.log(F.col(f"{name}1_{k}") / F.col(f"{name}0_{k}")).cast("float").alias(f"{name}_{k}") for k in numbers]
+        return df.select(F.col(key).alias("hash"), *columns).toPandas().sort_values("hash", ignore_index=True)
+    words = ratios(found.words, "w", "lower").merge(ratios(found.histories, "h", "back"), "outer", "hash").sort_values("hash", ignore_index=True)
+    pairs = ratios(found.pairs, "key", "p")
+    unknown = [float(np.log(found.unknown[1, k] / found.unknown[0, k])) for k in numbers]
+    return [ToxicityModel(words["hash"].to_numpy(), words[f"lower_{k}"].fillna(unknown[k]).to_numpy(np.float32),
+                          words[f"back_{k}"].fillna(0).to_numpy(np.float32), unknown[k], pairs["hash"].to_numpy(), pairs[f"p_{k}"].to_numpy(np.float32),
+                          np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0])) for k in numbers]
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000, characters: int = 40_000_000,
+        discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
+    """Learn from labelled rows outside fold `held`.
+
+    A quarter of the sampled rows is kept back: it calibrates the score and picks the discount by log loss.
+    """
+    rows = labelled_sample(docs, labels, folds, held, sample, characters)
+    counted = materialise(rows.where("NOT calibrate").select("text", "toxic").mapInPandas(bigram_counts, "key long, h long, w long, n0 long, n1 long")
+                          .groupBy("key", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-bigrams")
+    found = kneser_ney(counted, discounts)
+    if found is None:
         return neutral()
-    expected = [F.col("shared") * (facts[f"k{c}"] / facts["shared"]) for c in (0, 1)]
-    held = words.agg(*(F.sum(F.least(F.col(f"k{c}").cast("double"), d + d * F.sqrt(expected[c]))).alias(f"d{c}_{k}")
-                       for c in (0, 1) for k, d in enumerate(discounts))).first()
-    kept = most(words.join(histories, "word", "full_outer").na.fill(0).where("n >= 2 OR word = ''")
-                .orderBy(F.col("n").desc(), "word")).toPandas()
-    plain = kept[kept["word"] != ""]
-    kept = pd.concat([pd.DataFrame({"word": ["\0unknown"]}), kept[kept["word"] == ""], plain]).fillna(0).reset_index(drop=True)
-    pairs = most(counted.where("n0 + n1 >= 2").orderBy((F.col("n0") + F.col("n1")).desc(), "h", "w")).toPandas()
-
-    vocabulary = {w: i for i, w in enumerate(kept["word"]) if i > START}
-    p_shared = (kept["shared"].to_numpy(float) + 0.5) / (facts["shared"] + 0.5 * (facts["types"] + 1))
-    h = np.array([START if x == "" else vocabulary.get(x, UNKNOWN) for x in pairs["h"]], np.int64)
-    w = np.array([vocabulary.get(x, UNKNOWN) for x in pairs["w"]], np.int64)
-    known_pair = (h != UNKNOWN) & (w != UNKNOWN)
-    by_key = np.argsort((h << SHIFT | w)[known_pair])
-    h, w = h[known_pair][by_key], w[known_pair][by_key]
-    total = [np.maximum(kept[f"c{c}"].to_numpy(float), 1) for c in (0, 1)]
-    number = [pairs[f"n{c}"].to_numpy(float)[known_pair][by_key] for c in (0, 1)]
-    keys, models = np.append(h << SHIFT | w, np.iinfo(np.int64).max), []
-    for k, d in enumerate(discounts):
-        cut = [d + d * np.sqrt(kept["shared"].to_numpy(float) * (facts[f"k{c}"] / facts["shared"])) for c in (0, 1)]
-        lower = [(np.maximum(kept[f"k{c}"].to_numpy(float) - cut[c], 0) + held[f"d{c}_{k}"] * p_shared) / facts[f"k{c}"] for c in (0, 1)]
-        backoff = [np.where(kept[f"c{c}"] > 0, kept[f"d{c}_{k}"].to_numpy(float) / total[c], 1.0) for c in (0, 1)]
-        direct = [np.append(np.maximum(number[c] - d, 0) / total[c][h], 0.0) for c in (0, 1)]
-        flat = ToxicityModel(vocabulary, np.array(lower), np.ones((2, len(kept))), np.array([np.iinfo(np.int64).max]),
-                             np.zeros((2, 2)), np.array([0.0, 1.0, 0.0, 0.0]))
-        models.append(flat)
-        models.append(ToxicityModel(vocabulary, flat.lower, np.array(backoff), keys,
-                                    np.pad(np.array(direct), ((0, 0), (0, 1))), np.array([0.0, 1.0, 0.0, 0.0])))
-
-    # One broadcast: the models share their vocabulary and keys.
+    models = model_arrays(found)
+    # One broadcast: the models share their hashes.
     sent = docs.sparkSession.sparkContext.broadcast([vars(model) for model in models])
     schema = "toxic double, " + ", ".join(f"f{k} array<double>" for k in range(len(models)))
 
     def measure(batches):
-        own = [ToxicityModel(**data) for data in sent.value]
+        own, hashes = [ToxicityModel(**data) for data in sent.value], Hashes()
         for pdf in batches:
+            texts = [bigrams(clear(t), hashes) for t in pdf["text"]]
             yield pd.DataFrame({"toxic": pdf["toxic"].astype(float)} | {
-                f"f{k}": [list(model.features(clear(t))) for t in pdf["text"]] for k, model in enumerate(own)})
+                f"f{k}": [list(model.features(*t)) for t in texts] for k, model in enumerate(own)})
 
     back = rows.where("calibrate").select("text", "toxic").mapInPandas(measure, schema).toPandas()
     sent.destroy()
@@ -216,8 +265,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        own = sent()
-        return pd.Series([own.score(clear(t)) for t in texts], dtype="float64")
+        own, hashes = sent(), Hashes()
+        return pd.Series([own.score(*bigrams(clear(t), hashes)) for t in texts], dtype="float64")
 
     return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

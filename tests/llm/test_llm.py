@@ -426,8 +426,56 @@ def test_toxicity_keeps_rare_words_beside_a_large_vocabulary(spark):
         rows.append((i + 100, prose(i + 100, 30), "en", "s", 1))
         labels.append((i + 100, 1, 1))
     docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    found = toxicity.fit(docs, marks).vocabulary
-    assert len(found) > 140_000 and any(w.startswith("vile") for w in found)
+    found, hashes = set(toxicity.fit(docs, marks).words.tolist()), toxicity.Hashes()
+    assert len(found) > 140_000 and any(hashes[f"vile{i}"] in found for i in range(10))
+
+
+def plain_kneser_ney(texts, d):
+    """p[class](word, history) by dictionaries, None for the unknown word; and the words of both classes."""
+    counts = [Counter(), Counter()]
+    for text, toxic in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        counts[toxic].update(zip(["", *words], words))
+    every = set(counts[0]) | set(counts[1])
+    words = sorted({w for _, w in every})
+    shared = Counter(w for _, w in every)
+    base = len(every) + .5 * (len(words) + 1)
+    p_shared = {w: (shared[w] + .5) / base for w in words} | {None: .5 / base}
+    assert abs(sum(p_shared.values()) - 1) < 1e-9
+
+    def model(c):
+        k = Counter(w for (_, w), n in counts[c].items() if n)
+        total = sum(k.values())
+        taken = {w: min(k[w], d + d * math.sqrt(shared[w] * total / len(every))) for w in words}
+        lower = {w: (k[w] - taken.get(w, 0) + sum(taken.values()) * p_shared[w]) / total for w in [*words, None]}
+        size, mass = Counter(), Counter()
+        for (h, w), n in counts[c].items():
+            size[h] += n
+            mass[h] += min(n, d)
+        return lambda w, h: (max(counts[c][h, w] - d, 0) + mass[h] * lower[w]) / size[h] if size[h] else lower[w]
+    return [model(0), model(1)], words, sorted({h for h, _ in every})
+
+
+@pytest.mark.parametrize("d", [0.5, 1.0, 2.0])
+def test_class_models_are_distributions_and_equal_plain_kneser_ney(spark, d):
+    texts = [("a b a b c", 0), ("a b d, a c", 0), ("b vile a b", 1), (None, 1), ("vile vile b c É", 1), ("x", 0)]
+    counted = spark.createDataFrame(texts, "text string, toxic int").repartition(3).mapInPandas(
+        toxicity.bigram_counts, "key long, h long, w long, n0 long, n1 long").groupBy("key", "h", "w").agg({"n0": "sum", "n1": "sum"}).toDF("key", "h", "w", "n0", "n1")
+    found = toxicity.kneser_ney(counted, (d,))
+    plain, words, histories = plain_kneser_ney(texts, d)
+    for c in (0, 1):
+        for h in [*histories, "never seen"]:
+            assert abs(sum(plain[c](w, h) for w in [*words, None]) - 1) < 1e-9
+        assert abs(found.unknown[c, 0] - plain[c](None, "never seen")) < 1e-12
+        lower = {r.w: r[f"lower{c}_0"] for r in found.words.collect()}
+        assert abs(sum(lower.values()) + found.unknown[c, 0] - 1) < 1e-9
+    hashes, model = toxicity.Hashes(), toxicity.model_arrays(found)[0]
+    text = "a b vile c never a É b"
+    history, word = toxicity.bigrams(text, hashes)
+    said = re.findall(r"\w+", text.lower())
+    known = lambda w: w if w in words else None
+    want = [math.log(plain[1](known(w), h) / plain[0](known(w), h)) for h, w in dict.fromkeys(zip(["", *said], said))]
+    assert np.allclose(sorted(model.ratios(history, word)[1]), sorted(want), atol=1e-5)
 
 
 def test_numbers_beside_numbers_are_proposed():
