@@ -207,26 +207,79 @@ def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
     return Probabilities(lower, histories.drop("c0", "c1"), pairs, unknown, discounts)
 
 
-def model_arrays(found: Probabilities) -> list[ToxicityModel]:
-    """A model for each discount; they share their hashes."""
+@dataclass
+class Ratios:
+    """Log ratios, toxic over ordinary, as tables of a hash and a float for each discount, and of the unknown word."""
+    words: DataFrame
+    histories: DataFrame
+    pairs: DataFrame
+    unknown: list
+
+
+def log_ratios(found: Probabilities) -> Ratios:
     numbers = range(len(found.discounts))
 
-    def ratios(df: DataFrame, key: str, name: str) -> pd.DataFrame:
-        columns = [F.log(F.col(f"{name}1_{k}") / F.col(f"{name}0_{k}")).cast("float").alias(f"{name}_{k}") for k in numbers]
-        return df.select(F.col(key).alias("hash"), *columns).toPandas().sort_values("hash", ignore_index=True)
-    words = ratios(found.words, "w", "lower").merge(ratios(found.histories, "h", "back"), "outer", "hash").sort_values("hash", ignore_index=True)
-    pairs = ratios(found.pairs, "key", "p")
-    unknown = [float(np.log(found.unknown[1, k] / found.unknown[0, k])) for k in numbers]
-    return [ToxicityModel(words["hash"].to_numpy(), words[f"lower_{k}"].fillna(unknown[k]).to_numpy(np.float32),
-                          words[f"back_{k}"].fillna(0).to_numpy(np.float32), unknown[k], pairs["hash"].to_numpy(), pairs[f"p_{k}"].to_numpy(np.float32),
-                          np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0])) for k in numbers]
+    def table(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(F.col(key).alias("hash"), *(F.log(F.col(f"{name}1_{k}") / F.col(f"{name}0_{k}")).cast("float").alias(f"r{k}") for k in numbers))
+    return Ratios(table(found.words, "w", "lower"), table(found.histories, "h", "back"), materialise(table(found.pairs, "key", "p"), "toxic-ratios"),
+                  [float(np.log(found.unknown[1, k] / found.unknown[0, k])) for k in numbers])
+
+
+def distinct_bigrams(batches):
+    """(row, toxic, key, h, w) of each row's distinct bigrams; nulls for a row without words."""
+    hashes = Hashes()
+    for pdf in batches:
+        for row, text, toxic in zip(pdf["row"], pdf["text"], pdf["toxic"]):
+            history, word = bigrams(clear(text), hashes)
+            key, first = np.unique(pair_keys(history, word), return_index=True) if len(word) else (word, word)
+            out = pd.DataFrame({"key": key, "h": history[first], "w": word[first]}) if len(word) else pd.DataFrame({"key": [None], "h": [None], "w": [None]})
+            yield out.astype("Int64").assign(row=row, toxic=toxic)[["row", "toxic", "key", "h", "w"]]
+
+
+def features_by_row(rows: DataFrame, ratios: Ratios) -> DataFrame:
+    """row, toxic, f<k>: the features of ToxicityModel under each discount, by joins."""
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic").dropDuplicates(["row"])
+    x = keyed.mapInPandas(distinct_bigrams, "row long, toxic int, key long, h long, w long")
+    for name, table in (("key", ratios.pairs), ("w", ratios.words), ("h", ratios.histories)):
+        other = table.select(F.col("hash").alias(name), *(F.col(c).cast("double").alias(f"{name}_{c}") for c in table.columns if c != "hash"))
+        x = x.join(other, name, "left")
+    n, sums, out = F.greatest(F.col("n"), F.lit(1)), [], []
+    for k, unknown in enumerate(ratios.unknown):
+        lower = F.coalesce(f"w_r{k}", F.lit(unknown))
+        both = (lower, F.coalesce(f"key_r{k}", lower + F.coalesce(f"h_r{k}", F.lit(0.0))))
+        for order, ratio in enumerate(both):
+            own = F.when(F.col("key").isNotNull(), ratio)
+            sums += [F.coalesce(F.sum(own), F.lit(0.0)).alias(f"s{k}_{order}"), F.coalesce(F.sum(F.greatest(own - 1, F.lit(0.0))), F.lit(0.0)).alias(f"g{k}_{order}")]
+        parts = [c for o in (0, 1) for c in (F.col(f"s{k}_{o}") / n, F.col(f"g{k}_{o}") / n, F.col(f"g{k}_{o}") / F.sqrt(n))]
+        out.append(F.array(F.lit(1.0), *parts).alias(f"f{k}"))
+    return x.groupBy("row", "toxic").agg(F.count("key").alias("n"), *sums).select("row", "toxic", *out)
+
+
+def collected(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and their floats, without a Python object for each row."""
+    got = df.select("hash", F.col(f"r{k}").alias("r")).toArrow()
+    hashes, values = got["hash"].to_numpy(), got["r"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], values[order]
+
+
+def model_of(ratios: Ratios, k: int, weights: np.ndarray) -> ToxicityModel:
+    words, lower = collected(ratios.words, k)
+    histories, back = collected(ratios.histories, k)
+    # A history is a word of the texts or the start, which is no word.
+    every = np.union1d(words, histories)
+    full = np.full(len(every), ratios.unknown[k], np.float32), np.zeros(len(every), np.float32)
+    full[0][np.searchsorted(every, words)] = lower
+    full[1][np.searchsorted(every, histories)] = back
+    return ToxicityModel(every, *full, ratios.unknown[k], *collected(ratios.pairs, k), weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000, characters: int = 40_000_000,
         discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
     """Learn from labelled rows outside fold `held`.
 
-    A quarter of the sampled rows is kept back: it calibrates the score and picks the discount by log loss.
+    A quarter of the sampled rows is kept back: it calibrates the score and picks the discount by log loss, with features
+    from joins, so that only the picked model leaves its tables.
     """
     rows = labelled_sample(docs, labels, folds, held, sample, characters)
     counted = materialise(rows.where("NOT calibrate").select("text", "toxic").mapInPandas(bigram_counts, "key long, h long, w long, n0 long, n1 long")
@@ -234,29 +287,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
     found = kneser_ney(counted, discounts)
     if found is None:
         return neutral()
-    models = model_arrays(found)
-    # One broadcast: the models share their hashes.
-    sent = docs.sparkSession.sparkContext.broadcast([vars(model) for model in models])
-    schema = "toxic double, " + ", ".join(f"f{k} array<double>" for k in range(len(models)))
-
-    def measure(batches):
-        own, hashes = [ToxicityModel(**data) for data in sent.value], Hashes()
-        for pdf in batches:
-            texts = [bigrams(clear(t), hashes) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"].astype(float)} | {
-                f"f{k}": [list(model.features(*t)) for t in texts] for k, model in enumerate(own)})
-
-    back = rows.where("calibrate").select("text", "toxic").mapInPandas(measure, schema).toPandas()
-    sent.destroy()
+    ratios = log_ratios(found)
+    back = features_by_row(rows.where("calibrate"), ratios).toPandas().sort_values("row", ignore_index=True)
     if back["toxic"].nunique() < 2:
-        return models[0]
-    y, losses = back["toxic"].to_numpy(), []
-    for k, model in enumerate(models):
+        return model_of(ratios, 0, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
+    y, tried = back["toxic"].to_numpy(float), []
+    for k in range(len(discounts)):
         x = np.array(back[f"f{k}"].tolist())
-        model.weights = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ model.weights, -40, 40))), 1e-9, 1 - 1e-9)
-        losses.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-    return models[int(np.argmin(losses))]
+        weights = logistic(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))), 1e-9, 1 - 1e-9)
+        tried.append((-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), k, weights))
+    _, k, weights = min(tried, key=lambda t: t[:2])
+    return model_of(ratios, k, weights)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
