@@ -126,4 +126,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of `docs` without a window similar to a benchmark item; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark, words, similarity).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated(docs, benchmark, words, similarity).select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -168,11 +168,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, s
 class Probabilities:
     """Tables of the two models under each discount d: columns end in the class and the number of the discount."""
     words: DataFrame       # w, lower<c>_<k>
-    histories: DataFrame   # h, back<c>_<k>
-    pairs: DataFrame       # key, h, w, p<c>_<k>
+    histories: DataFrame   # h, c<c>, back<c>_<k>
+    counted: DataFrame
     unknown: dict          # (c, k) to the lower order's probability of the unknown word
     discounts: tuple
 
+    def pairs(self, k: int) -> DataFrame:
+        """key, h, w, p0, p1 of the counted bigrams under discount number k."""
+        d = F.lit(float(self.discounts[k]))
+        joined = self.counted.join(self.words.select("w", *(F.col(f"lower{c}_{k}").alias(f"lower{c}") for c in (0, 1))), "w").join(
+            self.histories.select("h", "c0", "c1", *(F.col(f"back{c}_{k}").alias(f"back{c}") for c in (0, 1))), "h")
+
+        def p(c: int) -> Column:
+            direct = F.coalesce(F.try_divide(F.greatest(F.col(f"n{c}") - d, F.lit(0.0)), F.col(f"c{c}")), F.lit(0.0))
+            return (direct + F.col(f"back{c}") * F.col(f"lower{c}")).alias(f"p{c}")
+        return joined.select("key", "h", "w", p(0), p(1))
+
 
 def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
     """Interpolated probabilities of all counted bigrams (key, h, w, n0, n1); None unless both classes have some.
@@ -201,104 +212,83 @@ def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
     sums = counted.groupBy("h").agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum(cut(c, k)).alias(f"m{c}_{k}") for c, k in both))
     histories = materialise(sums.select("h", "c0", "c1", *(F.when(F.col(f"c{c}") > 0, F.col(f"m{c}_{k}") / F.col(f"c{c}")).otherwise(1.0).alias(f"back{c}_{k}")
                                                            for c, k in both)), "toxic-histories")
-    joined = counted.join(lower, "w").join(histories, "h")
-    direct = {(c, k): F.coalesce(F.try_divide(F.col(f"n{c}") - cut(c, k), F.col(f"c{c}")), F.lit(0.0)) for c, k in both}
-    pairs = joined.select("key", "h", "w", *((direct[c, k] + F.col(f"back{c}_{k}") * F.col(f"lower{c}_{k}")).alias(f"p{c}_{k}") for c, k in both))
-    return Probabilities(lower, histories.drop("c0", "c1"), pairs, unknown, discounts)
+    return Probabilities(lower, histories, counted, unknown, discounts)
 
 
-@dataclass
-class Ratios:
-    """Log ratios, toxic over ordinary, as tables of a hash and a float for each discount, and of the unknown word."""
-    words: DataFrame
-    histories: DataFrame
-    pairs: DataFrame
-    unknown: list
+def collected(df: DataFrame, key: str, ratios: list[Column]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes in order and floats for each of them, without a Python object for each row."""
+    got = df.select(F.col(key).alias("hash"), *(r.cast("float").alias(f"r{i}") for i, r in enumerate(ratios))).toArrow()
+    hashes = got["hash"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], [got[f"r{i}"].to_numpy()[order] for i in range(len(ratios))]
 
 
-def log_ratios(found: Probabilities) -> Ratios:
-    numbers = range(len(found.discounts))
+def word_models(found: Probabilities) -> list[ToxicityModel]:
+    """The lower order alone under each discount."""
+    def ratio(k: int) -> Column:
+        return F.log(F.col(f"lower1_{k}") / F.col(f"lower0_{k}"))
+    words, lower = collected(found.words, "w", [ratio(k) for k in range(len(found.discounts))])
+    none = np.zeros(0, np.int64)
+    return [ToxicityModel(words, values, np.zeros(len(words), np.float32), float(np.log(found.unknown[1, k] / found.unknown[0, k])), none,
+                          none, np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0])) for k, values in enumerate(lower)]
 
-    def table(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.select(F.col(key).alias("hash"), *(F.log(F.col(f"{name}1_{k}") / F.col(f"{name}0_{k}")).cast("float").alias(f"r{k}") for k in numbers))
-    return Ratios(table(found.words, "w", "lower"), table(found.histories, "h", "back"), materialise(table(found.pairs, "key", "p"), "toxic-ratios"),
-                  [float(np.log(found.unknown[1, k] / found.unknown[0, k])) for k in numbers])
 
+def with_bigrams(model: ToxicityModel, found: Probabilities, k: int) -> ToxicityModel:
+    histories, (back,) = collected(found.histories, "h", [F.log(F.col(f"back1_{k}") / F.col(f"back0_{k}"))])
+    # A history is a word of the texts or the start, which is no word.
+    every = np.union1d(model.words, histories)
+    lower, backs = np.full(len(every), model.unknown, np.float32), np.zeros(len(every), np.float32)
+    lower[np.searchsorted(every, model.words)] = model.lower
+    backs[np.searchsorted(every, histories)] = back
+    keys, (direct,) = collected(found.pairs(k), "key", [F.log(F.col("p1") / F.col("p0"))])
+    return ToxicityModel(every, lower, backs, model.unknown, keys, direct, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
 
-def distinct_bigrams(batches):
-    """(row, toxic, key, h, w) of each row's distinct bigrams; nulls for a row without words."""
-    hashes = Hashes()
-    for pdf in batches:
-        for row, text, toxic in zip(pdf["row"], pdf["text"], pdf["toxic"]):
-            history, word = bigrams(clear(text), hashes)
-            key, first = np.unique(pair_keys(history, word), return_index=True) if len(word) else (word, word)
-            out = pd.DataFrame({"key": key, "h": history[first], "w": word[first]}) if len(word) else pd.DataFrame({"key": [None], "h": [None], "w": [None]})
-            yield out.astype("Int64").assign(row=row, toxic=toxic)[["row", "toxic", "key", "h", "w"]]
-
-
-def features_by_row(rows: DataFrame, ratios: Ratios) -> DataFrame:
-    """row, toxic, f<k>: the features of ToxicityModel under each discount, by joins."""
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), "text", "toxic").dropDuplicates(["row"])
-    x = keyed.mapInPandas(distinct_bigrams, "row long, toxic int, key long, h long, w long")
-    for name, table in (("key", ratios.pairs), ("w", ratios.words), ("h", ratios.histories)):
-        other = table.select(F.col("hash").alias(name), *(F.col(c).cast("double").alias(f"{name}_{c}") for c in table.columns if c != "hash"))
-        x = x.join(other, name, "left")
-    n, sums, out = F.greatest(F.col("n"), F.lit(1)), [], []
-    for k, unknown in enumerate(ratios.unknown):
-        lower = F.coalesce(f"w_r{k}", F.lit(unknown))
-        both = (lower, F.coalesce(f"key_r{k}", lower + F.coalesce(f"h_r{k}", F.lit(0.0))))
-        for order, ratio in enumerate(both):
-            own = F.when(F.col("key").isNotNull(), ratio)
-            sums += [F.coalesce(F.sum(own), F.lit(0.0)).alias(f"s{k}_{order}"), F.coalesce(F.sum(F.greatest(own - 1, F.lit(0.0))), F.lit(0.0)).alias(f"g{k}_{order}")]
-        parts = [c for o in (0, 1) for c in (F.col(f"s{k}_{o}") / n, F.col(f"g{k}_{o}") / n, F.col(f"g{k}_{o}") / F.sqrt(n))]
-        out.append(F.array(F.lit(1.0), *parts).alias(f"f{k}"))
-    return x.groupBy("row", "toxic").agg(F.count("key").alias("n"), *sums).select("row", "toxic", *out)
-
-
-def collected(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and their floats, without a Python object for each row."""
-    got = df.select("hash", F.col(f"r{k}").alias("r")).toArrow()
-    hashes, values = got["hash"].to_numpy(), got["r"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], values[order]
 
+def measured(rows: DataFrame, models: list[ToxicityModel]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels of the rows and, for each model, their features."""
+    # One broadcast: the models share their hashes.
+    sent = rows.sparkSession.sparkContext.broadcast([vars(model) for model in models])
 
-def model_of(ratios: Ratios, k: int, weights: np.ndarray) -> ToxicityModel:
-    words, lower = collected(ratios.words, k)
-    histories, back = collected(ratios.histories, k)
-    # A history is a word of the texts or the start, which is no word.
-    every = np.union1d(words, histories)
-    full = np.full(len(every), ratios.unknown[k], np.float32), np.zeros(len(every), np.float32)
-    full[0][np.searchsorted(every, words)] = lower
-    full[1][np.searchsorted(every, histories)] = back
-    return ToxicityModel(every, *full, ratios.unknown[k], *collected(ratios.pairs, k), weights)
+    def measure(batches):
+        own, hashes = [ToxicityModel(**data) for data in sent.value], Hashes()
+        for pdf in batches:
+            texts = [bigrams(clear(t), hashes) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"].astype(float)} | {
+                f"f{k}": [list(model.features(*t)) for t in texts] for k, model in enumerate(own)})
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic double, " + ", ".join(f"f{k} array<double>" for k in range(len(models)))
+    got = rows.select("doc_id", "text", "toxic").mapInPandas(measure, schema).toPandas().sort_values("doc_id", kind="stable")
+    sent.destroy()
+    return got["toxic"].to_numpy(), [np.array(got[f"f{k}"].tolist()) for k in range(len(models))]
+
+
+def log_loss(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = 10_000, characters: int = 40_000_000,
         discounts: tuple = (0.5, 1.0, 2.0)) -> ToxicityModel:
     """Learn from labelled rows outside fold `held`.
 
-    A quarter of the sampled rows is kept back: it calibrates the score and picks the discount by log loss, with features
-    from joins, so that only the picked model leaves its tables.
+    A quarter of the sampled rows is kept back. With the lower order alone it picks the discount by log loss; with the
+    interpolated model under that discount, whose bigrams alone leave their tables, it calibrates the score.
     """
     rows = labelled_sample(docs, labels, folds, held, sample, characters)
     counted = materialise(rows.where("NOT calibrate").select("text", "toxic").mapInPandas(bigram_counts, "key long, h long, w long, n0 long, n1 long")
-                          .groupBy("key", "h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-bigrams")
+                          .groupBy("key", "h", "w").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")), "toxic-bigrams")
     found = kneser_ney(counted, discounts)
     if found is None:
         return neutral()
-    ratios = log_ratios(found)
-    back = features_by_row(rows.where("calibrate"), ratios).toPandas().sort_values("row", ignore_index=True)
-    if back["toxic"].nunique() < 2:
-        return model_of(ratios, 0, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
-    y, tried = back["toxic"].to_numpy(float), []
-    for k in range(len(discounts)):
-        x = np.array(back[f"f{k}"].tolist())
-        weights = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))), 1e-9, 1 - 1e-9)
-        tried.append((-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), k, weights))
-    _, k, weights = min(tried, key=lambda t: t[:2])
-    return model_of(ratios, k, weights)
+    models, back = word_models(found), rows.where("calibrate")
+    y, features = measured(back, models)
+    if len(set(y.tolist())) < 2:
+        return with_bigrams(models[0], found, 0)
+    losses = [log_loss(x[:, :4], y, logistic(x[:, :4], y)) for x in features]
+    k = int(np.argmin(losses))
+    model = with_bigrams(models[k], found, k)
+    y, (x,) = measured(back, [model])
+    model.weights = logistic(x, y)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

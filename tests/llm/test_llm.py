@@ -469,8 +469,7 @@ def test_class_models_are_distributions_and_equal_plain_kneser_ney(spark, d):
         assert abs(found.unknown[c, 0] - plain[c](None, "never seen")) < 1e-12
         lower = {r.w: r[f"lower{c}_0"] for r in found.words.collect()}
         assert abs(sum(lower.values()) + found.unknown[c, 0] - 1) < 1e-9
-    ratios = toxicity.log_ratios(found)
-    hashes, model = toxicity.Hashes(), toxicity.model_of(ratios, 0, np.zeros(7))
+    hashes, model = toxicity.Hashes(), toxicity.with_bigrams(toxicity.word_models(found)[0], found, 0)
     text = "a b vile c never a É b"
     history, word = toxicity.bigrams(text, hashes)
     said = re.findall(r"\w+", text.lower())
@@ -492,6 +491,3 @@ def test_whole_numbers_go_before_parts_of_numbers():
     every = pii.BoostedTrees(5.0, [tuple(np.array([v], float if k in (1, 4) else np.int64) for k, v in enumerate((-1, 0, 0, 0, 0)))], 0.9)
     for text, want in (("2024-01-05 555-123-4567", ["555-123-4567"]), ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"])):
         assert [text[s:e] for _, s, e in pii.spans_of(text, every)[1]] == want
-    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate([*texts, (text, 1), ("", 0)])], "doc_id long, text string, toxic int")
-    joined = sorted(list(r.f0) for r in toxicity.features_by_row(docs, ratios).collect())
-    assert np.allclose(joined, sorted(list(model.features(*toxicity.bigrams(t or "", hashes))) for t, _ in [*texts, (text, 1), ("", 0)]), atol=1e-5)
