@@ -194,3 +194,13 @@ def test_filter_damps_and_raises():
     # Chebyshev polynomials in their closed form, scaled to 1 at the top value.
     at = lambda x: np.cosh(8 * np.arccosh(x)) if x > 1 else np.cos(8 * np.arccos(x))
     assert np.allclose(np.diag(out), [at(2 * x - 1) / at(9.0) for x in values])
+
+
+# Registered queries ------------------------------------------------------------------
+
+@pytest.mark.parametrize("name,rows", [("op11_whitening", 500 * 32), ("op13_license_scan", 200)])
+def test_registered_queries_return_their_contract(spark, name, rows):
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = {"op11_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+            "op13_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]}[name]
+    assert out.columns[:len(want)] == want and out.count() == rows
