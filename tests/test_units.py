@@ -261,3 +261,34 @@ def test_every_request_gives_one_row_with_status_and_reason(spark):
         assert got["9001"].valuation_note == "unknown_block" and got["9001"].lower_estimate is None
         assert all((r.price_estimate is None) == (r.valuation_status == "not_valued") == (r.valuation_note is not None) for r in rows)
         assert any(r.valuation_status == "estimated" for r in rows)
+
+
+def test_partial_requests_keep_null_and_repeated_ids(spark):
+    from hearthframe.operators import valuation as V
+    from hearthframe.plans import market as PM
+    from hearthframe.sources.tables import blocks, sales
+    sf = "/root/testdata/sf0.001"
+    asked = spark.createDataFrame([(None, "B1", None, None, None), (None, "B2", None, 10.0, None), (7, "B1", None, None, 5.0), (7, "B1", None, None, 5.0), (7, "B3", None, 20.0, 5.0)],
+                                  "request_id long, block_id string, flat_type string, floor_area_sqm double, storey_midpoint double")
+    got = [tuple(r) for r in V.value_partial_requests(asked, blocks(spark, sf), sales(spark, sf), PM.local_counts(spark, sf), PM.VALUATION_MONTH).collect()]
+    assert sorted(map(str, (r[0] for r in got))) == ["7", "7", "7", "None", "None"]
+    assert len(set(got)) == 4 and sum(got.count(r) == 2 for r in set(got)) == 1
+
+
+def test_scenarios_carry_their_closest_sales(spark):
+    from hearthframe.operators import valuation as V
+    from hearthframe.plans import market as PM
+    from hearthframe.sources.tables import blocks, sales
+    sf = "/root/testdata/sf0.001"
+    base = sales(spark, sf)
+    rows = V.value_listings(PM.listing_features(spark, sf), blocks(spark, sf), base, PM.local_counts(spark, sf), PM.VALUATION_MONTH).filter(
+        "valuation_status = 'estimated'").select("block_id", "scenarios").collect()
+    sold = {r.transaction_id: r for r in base.collect()}
+    assert rows
+    for r in rows:
+        for s in r.scenarios:
+            assert 1 <= len(s.comparables) <= 5 and len(s.comparables) == min(5, s.comparable_count)
+            assert [c.comparable_rank for c in s.comparables] == list(range(1, len(s.comparables) + 1))
+            for c in s.comparables:
+                sale = sold[c.transaction_id]
+                assert (c.sale_price_sgd, c.block_id, c.floor_area_sqm) == (sale.resale_price, sale.block_id, sale.floor_area_sqm) and sale.month_no < PM.VALUATION_MONTH
