@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,13 +156,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, s
               .select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0).alias("calibrate")))
     # At most 2 * sample ids, so the broadcast has a fixed bound.
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    # Copies of one text would pass for evidence: a row goes if any of its sketches has an earlier row of its class.
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialise(rows.select("doc_id", "text", "toxic", "calibrate").mapInPandas(
-        sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, toxic int, calibrate boolean, sketch array<long>"), "toxic-sample")
+        sketched, f"doc_id {kind}, text string, toxic int, calibrate boolean, sketch array<long>").withColumn("row", F.xxhash64("doc_id", "text")), "toxic-sample")
+    # Copies of one text would pass for evidence: a row goes if any of its sketches has an earlier row of its class.
+    marks = rows.select("row", "doc_id", "toxic", "sketch")
     for k in range(SKETCHES):
         same = Window.partitionBy("toxic", F.get("sketch", k))
-        rows = rows.withColumn(f"first{k}", F.min("doc_id").over(same) == F.col("doc_id"))
-    return rows.where(" AND ".join(f"first{k}" for k in range(SKETCHES))).select("doc_id", "text", "toxic", "calibrate")
+        marks = marks.withColumn(f"first{k}", F.min("doc_id").over(same) == F.col("doc_id"))
+    kept = marks.where(" AND ".join(f"first{k}" for k in range(SKETCHES))).select("row").distinct()
+    return materialise(rows.join(kept, "row").select("doc_id", "text", "toxic", "calibrate"), "toxic-rows")
 
 
 @dataclass
@@ -173,17 +177,6 @@ class Probabilities:
     unknown: dict          # (c, k) to the lower order's probability of the unknown word
     discounts: tuple
 
-    def pairs(self, k: int) -> DataFrame:
-        """key, h, w, p0, p1 of the counted bigrams under discount number k."""
-        d = F.lit(float(self.discounts[k]))
-        joined = self.counted.join(self.words.select("w", *(F.col(f"lower{c}_{k}").alias(f"lower{c}") for c in (0, 1))), "w").join(
-            self.histories.select("h", "c0", "c1", *(F.col(f"back{c}_{k}").alias(f"back{c}") for c in (0, 1))), "h")
-
-        def p(c: int) -> Column:
-            direct = F.coalesce(F.try_divide(F.greatest(F.col(f"n{c}") - d, F.lit(0.0)), F.col(f"c{c}")), F.lit(0.0))
-            return (direct + F.col(f"back{c}") * F.col(f"lower{c}")).alias(f"p{c}")
-        return joined.select("key", "h", "w", p(0), p(1))
-
 
 def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
     """Interpolated probabilities of all counted bigrams (key, h, w, n0, n1); None unless both classes have some.
@@ -215,33 +208,45 @@ def kneser_ney(counted: DataFrame, discounts: tuple) -> Probabilities | None:
     return Probabilities(lower, histories, counted, unknown, discounts)
 
 
-def collected(df: DataFrame, key: str, ratios: list[Column]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hashes in order and floats for each of them, without a Python object for each row."""
-    got = df.select(F.col(key).alias("hash"), *(r.cast("float").alias(f"r{i}") for i, r in enumerate(ratios))).toArrow()
-    hashes = got["hash"].to_numpy()
+def collected(df: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The first column, hashes, in order, and the others along with it, without a Python object for each row."""
+    got = df.toArrow()
+    hashes = got.column(0).to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], [got[f"r{i}"].to_numpy()[order] for i in range(len(ratios))]
+    return hashes[order], [got.column(i).to_numpy()[order] for i in range(1, got.num_columns)]
 
 
 def word_models(found: Probabilities) -> list[ToxicityModel]:
     """The lower order alone under each discount."""
     def ratio(k: int) -> Column:
-        return F.log(F.col(f"lower1_{k}") / F.col(f"lower0_{k}"))
-    words, lower = collected(found.words, "w", [ratio(k) for k in range(len(found.discounts))])
+        return F.log(F.col(f"lower1_{k}") / F.col(f"lower0_{k}")).cast("float").alias(f"r{k}")
+    words, lower = collected(found.words.select("w", *(ratio(k) for k in range(len(found.discounts)))))
     none = np.zeros(0, np.int64)
     return [ToxicityModel(words, values, np.zeros(len(words), np.float32), float(np.log(found.unknown[1, k] / found.unknown[0, k])), none,
                           none, np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0])) for k, values in enumerate(lower)]
 
 
 def with_bigrams(model: ToxicityModel, found: Probabilities, k: int) -> ToxicityModel:
-    histories, (back,) = collected(found.histories, "h", [F.log(F.col(f"back1_{k}") / F.col(f"back0_{k}"))])
+    """The interpolated model. Words and histories of the sample are few beside its bigrams and go to the tasks that hold those."""
+    words, lower = collected(found.words.select("w", f"lower0_{k}", f"lower1_{k}"))
+    histories, facts = collected(found.histories.select("h", "c0", "c1", f"back0_{k}", f"back1_{k}"))
+    sent, d = found.words.sparkSession.sparkContext.broadcast((words, lower, histories, facts)), found.discounts[k]
+
+    def ratio(batches):
+        words, lower, histories, (c0, c1, back0, back1) = sent.value
+        for batch in batches:
+            h, w, n0, n1 = (batch.column(i).to_numpy() for i in range(1, 5))
+            at, from_ = np.searchsorted(words, w), np.searchsorted(histories, h)
+            p = [np.maximum(n - d, 0) / np.maximum(c[from_], 1) + back[from_] * low[at] for n, c, back, low in zip((n0, n1), (c0, c1), (back0, back1), lower)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log(p[1] / p[0]).astype(np.float32))], ["hash", "r"])
+    keys, (direct,) = collected(found.counted.select("key", "h", "w", "n0", "n1").mapInArrow(ratio, "hash long, r float"))
+    sent.destroy()
     # A history is a word of the texts or the start, which is no word.
-    every = np.union1d(model.words, histories)
-    lower, backs = np.full(len(every), model.unknown, np.float32), np.zeros(len(every), np.float32)
-    lower[np.searchsorted(every, model.words)] = model.lower
-    backs[np.searchsorted(every, histories)] = back
-    keys, (direct,) = collected(found.pairs(k), "key", [F.log(F.col("p1") / F.col("p0"))])
-    return ToxicityModel(every, lower, backs, model.unknown, keys, direct, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
+    every = np.union1d(words, histories)
+    lowers, backs = np.full(len(every), model.unknown, np.float32), np.zeros(len(every), np.float32)
+    lowers[np.searchsorted(every, words)] = model.lower
+    backs[np.searchsorted(every, histories)] = np.log(facts[3] / facts[2])
+    return ToxicityModel(every, lowers, backs, model.unknown, keys, direct, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0]))
 
 
 def measured(rows: DataFrame, models: list[ToxicityModel]) -> tuple[np.ndarray, list[np.ndarray]]:
