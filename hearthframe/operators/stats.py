@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearthframe import constants as K
 from hearthframe.functions import measures as M
 from hearthframe.operators import ordered as O
+from hearthframe.session import materialise
 
 
 def training_quartiles(train: DataFrame, value: str) -> tuple[Column, Column, Column]:
@@ -174,23 +175,54 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("value").alias("distinct_values"))
 
 
+def numeric_associations(df: DataFrame, numeric: Sequence[str], target: str, group: str) -> DataFrame:
+    """column, pearson_r, spearman_rho, within_r of all numeric columns against the target.
+
+    The columns are stacked and reduced to distinct (column, value, target, group) once; ranks, moments and moments within
+    groups of all columns come from those cells, so the table is read once however many columns there are.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in numeric]) if numeric else \
+        F.array().cast("array<struct<column:string,x:double>>")
+    stacked = df.select(F.inline(entries), F.col(target).cast("double").alias("y"), F.col(group).alias("g"))
+    cells = materialise(_pair(stacked, "x", "y").groupBy("column", "x", "y", "g").agg(F.count(F.lit(1)).alias("w")), "association-cells")
+    w = F.col("w")
+
+    def centred(keys: list[str]) -> DataFrame:
+        """Weighted cross products about the means of each key."""
+        means = cells.groupBy(*keys).agg(F.sum("w").alias("n"), (F.sum(w * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(w * F.col("y")) / F.sum("w")).alias("my"))
+        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+        return O.null_safe_join(cells, means, keys).groupBy("column").agg(
+            F.sum("w").alias("n"), F.try_divide(F.sum(w * dx * dy), F.nullif(F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), F.lit(0.0))).alias("r"))
+    plain = centred(["column"]).select("column", F.when(F.col("n") >= 2, F.col("r")).alias("pearson_r"))
+    within = centred(["column", "g"]).select("column", F.col("r").alias("within_r"))
+
+    def ranks(value: str) -> DataFrame:
+        ranked = O.cumulative(cells, ["column"], value, w)
+        centre = (F.col("total") + 1) / F.lit(2.0)
+        return ranked.select("column", F.col("v").alias(value), (F.col("upto") - (F.col("w") - 1) / F.lit(2.0) - centre).alias(f"r{value}"))
+    pairs = cells.groupBy("column", "x", "y").agg(F.sum("w").alias("w")).join(ranks("x"), ["column", "x"]).join(ranks("y"), ["column", "y"])
+    rho = pairs.groupBy("column").agg(F.try_divide(
+        F.sum(w * F.col("rx") * F.col("ry")), F.nullif(F.sqrt(F.sum(w * F.col("rx") * F.col("rx")) * F.sum(w * F.col("ry") * F.col("ry"))), F.lit(0.0))).alias("spearman_rho"))
+    return plain.join(rho, "column").join(within, "column")
+
+
+def category_associations(df: DataFrame, categorical: Sequence[str], target: str) -> DataFrame:
+    """column, eta_squared of all categories against the target in one pass; a missing category is its own group."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias("v")) for c in categorical]) if categorical else \
+        F.array().cast("array<struct<column:string,v:string>>")
+    groups = df.filter(F.col(target).isNotNull()).select(F.inline(entries), F.col(target).alias("y")).groupBy("column", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("s"))
+    grand = groups.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
+    gap = F.col("m") - F.col("gm")
+    between, inside = F.sum(F.col("n") * gap * gap), F.sum(F.col("n") * F.col("s"))
+    return groups.join(grand, "column").groupBy("column").agg(F.try_divide(between, F.nullif(between + inside, F.lit(0.0))).alias("eta_squared"))
+
+
 def association_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], excluded: Sequence[str],
                         target: str, group: str) -> DataFrame:
     """One row per column: profile, the fitting association measure and its label."""
     profile = column_profile(df, [*numeric, *categorical, *excluded])
-    scored = None
-    for name in numeric:
-        one = (
-            pearson(df, name, target).select(F.lit(name).alias("column"), "pearson_r")
-            .withColumn("spearman_rho", spearman(df, name, target).select("spearman_rho").scalar())
-            .withColumn("within_r", within_group_pearson(df, name, target, group).select("within_r").scalar())
-            .withColumn("eta_squared", F.lit(None).cast("double")))
-        scored = one if scored is None else scored.unionByName(one)
-    for name in categorical:
-        one = eta_squared(df, name, target).select(
-            F.lit(name).alias("column"), F.lit(None).cast("double").alias("pearson_r"),
-            F.lit(None).cast("double").alias("spearman_rho"), F.lit(None).cast("double").alias("within_r"), "eta_squared")
-        scored = one if scored is None else scored.unionByName(one)
+    scored = numeric_associations(df, numeric, target, group).join(category_associations(df, categorical, target), "column", "full_outer")
     joined = profile.join(scored, "column", "left")
     is_cat, is_num = F.col("column").isin(*categorical), F.col("column").isin(*numeric)
     many = is_cat & (F.col("distinct_values") > K.MAX_SCORED_CATEGORIES)
