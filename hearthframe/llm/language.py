@@ -2,14 +2,13 @@
 
 A text is the mean of the embeddings of its hashed character 1- to 4-grams; a linear softmax maps
 the mean to languages. Both matrices are trained by stochastic gradient descent in numpy on a
-bounded sample (at most `per_language` rows of each of at most `max_languages` languages, in hash
-order). A part kept back fits a temperature and the rejection threshold. As the model is linear,
+bounded sample: of every language at most `per_language` rows, fewer where there are so many languages that
+`rows` would be exceeded, at least one, in hash order. A part kept back fits a temperature and the rejection threshold. As the model is linear,
 scoring needs only the table of logits of each bucket.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +18,15 @@ from pyspark.sql import functions as F
 
 from .base import clear, fold, pieces, send
 
-LETTER = re.compile(r"[^\W\d_]")
 BITS = 15
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
+def lettered(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text))
+
+
 def buckets(text: str) -> np.ndarray:
     """Hash buckets of the character 1- to 4-grams of the lower-cased text."""
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,7 +62,7 @@ class LanguageModel:
     def predict(self, text) -> tuple[str, float]:
         """`und` with score 0 for null or letterless texts, or when nothing was learned."""
         text = clear(text)
-        if not self.languages or not LETTER.search(text):
+        if not self.languages or not lettered(text):
             return "und", 0.0
         total, count = np.zeros(len(self.languages)), 0
         for piece in pieces(text):
@@ -90,15 +93,14 @@ def train(bags: list, y: np.ndarray, languages: int, dim: int = 16, epochs: int
     return e, w, b
 
 
-def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 600, max_languages: int = 64,
+def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 600, rows: int = 38_400,
         precision: float = 0.99) -> LanguageModel:
     """Learn from text and non-null lang outside fold `held`; only the sample's bags reach the driver."""
     known = docs.select("doc_id", "text", "lang").where((fold(folds) != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages)
+    quota = min(per_language, max(1, rows // max(1, known.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    ids = (known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("rank", F.row_number().over(order))
-           .where(F.col("rank") <= per_language).select("doc_id").distinct())
-    # At most per_language * max_languages ids.
+    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota).select("doc_id").distinct()
+    # At most `rows` ids, or one of each language.
     sample = known.join(F.broadcast(ids), "doc_id").select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).alias("part"))
 
     def bagged(batches):
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 600,
 def identify_language(docs: DataFrame, folds: int = 3, held: int = 1, **fitting) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for every row; `lang` is only read of training rows.
 
-    Repeated rows are predicted each. `accepted` is false below the calibrated rejection threshold and for `und`.
+    Repeated rows are predicted each; equal logits give the language that sorts first. `accepted` is false below the calibrated rejection threshold and for `und`.
     """
     model = fit(docs, folds, held, **fitting)
     sent = send(docs.sparkSession, model)

@@ -491,3 +491,37 @@ def test_whole_numbers_go_before_parts_of_numbers():
     every = pii.BoostedTrees(5.0, [tuple(np.array([v], float if k in (1, 4) else np.int64) for k, v in enumerate((-1, 0, 0, 0, 0)))], 0.9)
     for text, want in (("2024-01-05 555-123-4567", ["555-123-4567"]), ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"])):
         assert [text[s:e] for _, s, e in pii.spans_of(text, every)[1]] == want
+
+
+def test_language_letters_many_languages_and_plain_logits(spark):
+    rows = [(i, f"{w}{w} {w}x {w}{i}", f"l{k:03d}", "s", 1) for k, w in enumerate("qwertyuiopasdfghjklzxcvbnm") for i in range(k * 40, k * 40 + 40)]
+    docs = spark.createDataFrame([*rows, (9001, "² ½ Ⅷ ① 12", None, "s", 1), (9002, "ª", None, "s", 1), (9003, None, None, "s", 1)], SCHEMA)
+    model = language.fit(docs, rows=26)
+    assert len(model.languages) == 26
+    got = {r.doc_id: r.lang_pred for r in language.identify_language(docs).collect()}
+    assert got[9001] == got[9003] == "und" and got[9002] != "und"
+    # A prediction by hand: the mean of the buckets' logits through the softmax.
+    text = "wwww qx Éa"
+    code = language.buckets(text)
+    z = (np.mean([model.logits[b].astype(float) for b in code], axis=0) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert model.predict(text) == (model.languages[int(p.argmax())], pytest.approx(float(p.max())))
+
+
+def test_averaged_embeddings_train_by_plain_gradients():
+    rng = np.random.default_rng(0)
+    bags = [(np.unique(rng.integers(0, 50, 6)), None) for _ in range(8)]
+    bags = [(at, np.full(len(at), 1 / len(at))) for at, _ in bags]
+    y = np.array([0, 1] * 4)
+    e, w, b = language.train(bags, y, 2, dim=3, epochs=1, step=0.1, seed=5)
+    r = np.random.default_rng(5)
+    e2, w2, b2 = r.uniform(-1 / 3, 1 / 3, (1 << language.BITS, 3)), np.zeros((3, 2)), np.zeros(2)
+    for i in r.permutation(8):
+        at, share = bags[i]
+        h = sum(s * e2[a] for a, s in zip(at, share))
+        g = np.exp(h @ w2 + b2) / np.exp(h @ w2 + b2).sum() - np.eye(2)[y[i]]
+        back = w2 @ g
+        w2, b2 = w2 - 0.1 * np.outer(h, g), b2 - 0.1 * g
+        for a, s in zip(at, share):
+            e2[a] = e2[a] - 0.1 * 20 * s * back
+    assert np.allclose(e, e2) and np.allclose(w, w2) and np.allclose(b, b2)
