@@ -15,7 +15,6 @@ reads whole texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +33,7 @@ WORD = re.compile(r"\w+")
 START = 0
 SKETCHES = 4
 #: Words remembered with their hash in a task.
-MEMO = 1 << 18
+MEMO = 1 << 16
 
 
 class Hashes(dict):
@@ -98,17 +97,19 @@ class ToxicityModel:
 
 
 def bigram_counts(batches):
-    """Per batch: key, history, word, ordinary count, toxic count."""
+    """(key, history, word, ordinary count, toxic count) of a few hundred rows at a time."""
     hashes = Hashes()
     for pdf in batches:
-        counts = Counter(), Counter()
-        for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            history, word = bigrams(clear(text), hashes)
-            counts[int(toxic)].update(zip(history.tolist(), word.tolist()))
-        both = np.array(list(counts[0].keys() | counts[1].keys()), np.int64).reshape(-1, 2)
-        pairs = list(map(tuple, both.tolist()))
-        yield pd.DataFrame({"key": pair_keys(both[:, 0].copy(), both[:, 1].copy()), "h": both[:, 0], "w": both[:, 1],
-                            "n0": [counts[0][p] for p in pairs], "n1": [counts[1][p] for p in pairs]})
+        for start in range(0, len(pdf), 256):
+            part = pdf.iloc[start:start + 256]
+            for c in (0, 1):
+                found = [bigrams(clear(t), hashes) for t in part.loc[part["toxic"] == c, "text"]]
+                if not found:
+                    continue
+                history, word = (np.concatenate(x) for x in zip(*found))
+                key, first, n = np.unique(pair_keys(history, word), return_index=True, return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pd.DataFrame({"key": key, "h": history[first], "w": word[first], "n0": zero if c else n, "n1": n if c else zero})
 
 
 def sketched(batches):
