@@ -376,7 +376,7 @@ def test_pipeline_stages_follow_their_operators(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_deep_tree_matches_plain_recursion_and_learns_long_contexts(spark):
