@@ -42,6 +42,9 @@ class StreamTable:
         self.spark, self.schema = spark, schema
         self.root = root or new_path(spark, name)
 
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/rows/batch={batch_id}")
+
     def read(self) -> DataFrame:
         """Every row with its ``batch``; empty before the first batch."""
         path = f"{self.root}/rows"
@@ -59,7 +62,7 @@ class StreamTable:
     def run(self, rows: DataFrame, mode: str = "append", after=None) -> None:
         """Drain what is available; ``after(batch_id)`` is called when a batch is stored."""
         def store(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.root}/rows/batch={batch_id}")
+            self.write(batch, batch_id)
             if after:
                 after(batch_id)
         q = (rows.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{self.root}/checkpoint")
@@ -97,9 +100,7 @@ def ingest_stream(stream: DataFrame, spark: SparkSession, root: str | None = Non
     """Stream of observations to merged listing rows."""
     log = StreamTable(spark, "listing-log", LISTING_STATE, root)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch_rows(batch).write.mode("overwrite").parquet(f"{log.root}/rows/batch={batch_id}")
-    q = (stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{log.root}/checkpoint").trigger(availableNow=True).start())
+    q = (stream.writeStream.foreachBatch(lambda batch, batch_id: log.write(batch_rows(batch), batch_id)).option("checkpointLocation", f"{log.root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return merge_rows(log.read().drop("batch"))
 
