@@ -4,23 +4,26 @@ Four kinds of base spans (email, ip, card, phone) follow fixed patterns and alwa
 generators propose further, overlapping spans: addresses with a spelled-out or bracketed at sign,
 numbers with other separators, a missing country code or a bracketed area, also beside other numbers. Gradient-boosted trees
 rate each proposal by its format and its context, without the features that define the base
-patterns (leading plus, separator kind, at sign). They learn from a bounded sample of candidates
-(at most `max_rows`): base spans against proposals that break a rule of their kind (Luhn, octets,
-length, domain). The threshold is the lowest score that keeps the wanted precision on a part of
-the sample kept back. A proposal that passes and overlaps no base span is added.
+patterns (leading plus, separator kind, at sign). They learn from the candidates of every document:
+base spans against proposals that break a rule of their kind (Luhn, octets, length, domain). Spark
+counts candidates of equal binned features, and the driver meets those counts only (at most
+`max_cells`, with coarser bins where there are more). The threshold is the lowest score that keeps
+the wanted precision on a fifth of the candidates kept back. A proposal that passes and overlaps no base span is added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .base import clear, send
 
 KINDS = ("email", "ip", "card", "phone")
@@ -154,22 +157,24 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, step: float = 0.3, bins: int = 32) -> BoostedTrees:
-    """Histogram gradient boosting with second-order leaf values."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, step: float = 0.3, bins: int = 32,
+          weight: np.ndarray | None = None, cuts: list[np.ndarray] | None = None) -> BoostedTrees:
+    """Histogram gradient boosting with second-order leaf values; a row stands for `weight` equal ones, `cuts` may be given."""
+    weight = np.ones(len(y)) if weight is None else weight
+    share = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     model = BoostedTrees(float(np.log(share / (1 - share))), [])
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    cuts = cuts or [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     raw = np.full(len(y), model.bias)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         nodes, stack = [[-1, 0.0, 0, 0, 0.0]], [(0, np.arange(len(y)), 0)]
         while stack:
             node, rows, level = stack.pop()
             gs, hs = g[rows].sum(), h[rows].sum()
             nodes[node][4] = -step * gs / (hs + 1)
             best = (1e-6, None, None)
-            for f in range(x.shape[1]) if level < depth and len(rows) > 20 else ():
+            for f in range(x.shape[1]) if level < depth and weight[rows].sum() > 20 else ():
                 if len(cuts[f]):
                     at = np.searchsorted(cuts[f], x[rows, f])
                     gl, hl = (np.cumsum(np.bincount(at, v[rows], len(cuts[f]) + 1))[:-1] for v in (g, h))
@@ -191,32 +196,57 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, step:
     return model
 
 
-def fit(docs: DataFrame, sample_docs: int = 20_000, max_rows: int = 50_000, precision: float = 0.99) -> BoostedTrees:
-    """Learn from the candidates of about `sample_docs` documents, chosen by hash; at most `max_rows` candidates reach the driver."""
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-
+def candidate_counts(docs: DataFrame) -> DataFrame:
+    """Features `x` and label `y` of the candidates of all documents, with the number `n` of each."""
     def candidates(batches):
         for pdf in batches:
-            rows = []
+            counts = Counter()
             for text in map(clear, pdf["text"]):
                 base = base_spans(text)
                 taken = set(base)
-                rows += [(describe(text, *b), 1.0) for b in base]
-                rows += [(describe(text, *c), 0.0) for c in proposals(text) if c not in taken and not valid(c[0], text[c[1]:c[2]])]
-            yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
+                counts.update((tuple(describe(text, *b)), 1.0) for b in base)
+                counts.update((tuple(describe(text, *c)), 0.0) for c in proposals(text) if c not in taken and not valid(c[0], text[c[1]:c[2]]))
+            yield pd.DataFrame({"x": [list(map(float, k[0])) for k in counts], "y": [k[1] for k in counts], "n": list(counts.values())})
+
+    return docs.select("text").mapInPandas(candidates, "x array<double>, y double, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def binned_counts(counts: DataFrame, cuts: list[np.ndarray], max_cells: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """Counts by the number of cuts below each feature, and the cuts; every second cut is left out until `max_cells` hold all."""
+    def lower(f: int, own: np.ndarray) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in own]), lambda c: c < F.col("x")[f])) if len(own) else F.lit(0)
+    below = F.array(*[lower(f, own) for f, own in enumerate(cuts)])
+    cells = materialise(counts.groupBy(below.alias("bins"), "y").agg(F.sum("n").alias("n")), "pii-cells")
+    while cells.count() > max_cells and any(map(len, cuts)):
+        cuts = [own[1::2] for own in cuts]
+        cells = materialise(cells.groupBy(F.transform("bins", lambda k: F.floor(k / 2).cast("int")).alias("bins"), "y").agg(F.sum("n").alias("n")), "pii-cells")
+    return cells, cuts
+
 
-    picked = docs.select("doc_id", "text").where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)), F.lit(0)) < int(share * (1 << 20)) + 1)
-    got = picked.select("text").mapInPandas(candidates, "x array<double>, y double").orderBy(F.hash("x"), "y", "x").limit(max_rows).toPandas()
-    if got["y"].nunique() < 2:
+def fit(docs: DataFrame, max_cells: int = 100_000, precision: float = 0.99, bins: int = 32) -> BoostedTrees:
+    """Learn from the candidates of all documents."""
+    counts = materialise(candidate_counts(docs), "pii-candidates")
+    if counts.select("y").distinct().count() < 2:
         return BoostedTrees(0.0, [], 2.0)
-    x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
-    back = np.arange(len(y)) % 5 == 0
-    model = boost(x[~back], y[~back])
-    p, t = model.probability(x[back]), y[back]
+    at = [float(q) for q in np.linspace(0, 1, bins + 1)[1:-1]]
+    width = len(describe("1", "ip", 0, 1))
+    quantiles = counts.agg(*[F.percentile_approx(F.col("x")[f], at, 1000).alias(f"q{f}") for f in range(width)]).first()
+    cells, cuts = binned_counts(counts, [np.unique(quantiles[f"q{f}"]) for f in range(width)], max_cells)
+    got = cells.orderBy(F.hash("bins"), "y", "bins").toPandas()
+    edges = [np.append(own, np.inf) for own in cuts]
+    places = np.array(got["bins"].tolist(), np.int64)
+    x, y, n = np.column_stack([own[places[:, f]] for f, own in enumerate(edges)]), got["y"].to_numpy(), got["n"].to_numpy()
+    upto = np.cumsum(n)
+    back = -(-upto // 5) + (-(upto - n) // 5)  # every fifth candidate
+    front = n > back
+    model = boost(x[front], y[front], weight=(n - back)[front].astype(float), cuts=cuts)
+    kept = back > 0
+    p, t, w = model.probability(x[kept]), y[kept], back[kept]
     down = np.argsort(-p, kind="stable")
-    right = np.cumsum(t[down]) / np.arange(1, len(t) + 1)
-    enough = np.flatnonzero(right >= precision)
-    model.threshold = max(0.9, float(p[down][enough[-1]])) if len(enough) else 2.0
+    p, t, w = p[down], t[down], w[down]
+    right = np.cumsum(t * w) / np.cumsum(w)
+    enough = np.flatnonzero((right >= precision) & np.append(p[1:] != p[:-1], True))
+    model.threshold = max(0.9, float(p[enough[-1]])) if len(enough) else 2.0
     return model
 
 

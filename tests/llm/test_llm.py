@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthframe.llm import base, decontaminate, edits, hamming, language, minmax, pieces, pii, suffixes, toxicity, weighting
 from hearthframe.llm.queries import ORACLES, QUERIES, TOKENIZERS
@@ -525,3 +526,22 @@ def test_averaged_embeddings_train_by_plain_gradients():
         for a, s in zip(at, share):
             e2[a] = e2[a] - 0.1 * 20 * s * back
     assert np.allclose(e, e2) and np.allclose(w, w2) and np.allclose(b, b2)
+
+
+def test_pii_learns_from_every_document(spark):
+    texts = ["write a@b.com or 1.2.3.999 now", "ping 10.0.0.1", "call +65 9123 4567 or 4111 1111 1111 1112"]
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.get(F.array(*map(F.lit, texts)), (F.col("id") % 3).cast("int")).alias("text"))
+    counts = pii.candidate_counts(docs)
+    want = 0
+    for text in texts:
+        base = pii.base_spans(text)
+        want += 8_000 * (len(base) + sum(c not in base and not pii.valid(c[0], text[c[1]:c[2]]) for c in pii.proposals(text)))
+    assert counts.agg(F.sum("n")).first()[0] == want
+    cuts = [np.array([0.0, 1.0, 2.0, 3.0, 9.0])] * 19
+    for most in (1_000, 2):
+        cells, left = pii.binned_counts(counts, cuts, most)
+        assert cells.agg(F.sum("n")).first()[0] == want and (most == 1_000 or max(map(len, left)) < 5)
+        found = {tuple(np.searchsorted(own, v) for own, v in zip(left, r.x)) for r in counts.collect()}
+        assert {tuple(r.bins) for r in cells.collect()} == found
+    model = pii.fit(docs)
+    assert model.trees and pii.fit(docs).bias == model.bias
