@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthframe import constants as K
 from hearthframe.functions import measures as M
 from hearthframe.operators.quality import reason_list
+from hearthframe.session import spread
 
 MONEY = "decimal(18,2)"
 TOP_PRICE = 10_000_000
@@ -117,7 +118,7 @@ def scenario_problems(price: str, value: str) -> Column:
 
 def affordability_ceiling(df: DataFrame) -> DataFrame:
     """Largest whole price whose cash and monthly outflow fit; bisection as a fold inside the row."""
-    base = with_buyer_defaults(df).withColumn("option_deposit", F.lit(0.0))
+    base = with_buyer_defaults(spread(df)).withColumn("option_deposit", F.lit(0.0))
     budget, cash = money("monthly_budget"), money("cash_available")
 
     def fits(price: Column) -> Column:
