@@ -20,17 +20,21 @@ def observation_stream(spark, sf):
     return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def timed_stream(spark, sf, slices=5):
-    """The observations as they were made, one file after the other by time."""
+def timed_stream(spark, sf, slices=5, rows_per_file=50_000):
+    """The observations as they were made, one slice of time after the other, each in equally many files read as one batch."""
     o = raw_observations(spark, sf).withColumn("page_number", F.col("page_number").cast("int"))
     path, staged = new_path(spark, "arrivals"), materialise(o, "observations")
     ends = staged.selectExpr("min(observed_at) AS a", "max(observed_at) AS b").first()
     span = (ends["b"] - ends["a"]) / slices
+    parts = []
     for i in range(slices):
         part = staged.filter(F.col("observed_at") >= ends["a"] + i * span)
-        part = part if i == slices - 1 else part.filter(F.col("observed_at") < ends["a"] + (i + 1) * span)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        parts.append(part if i == slices - 1 else part.filter(F.col("observed_at") < ends["a"] + (i + 1) * span))
+    # Every file must hold rows, else it is not written and a batch would reach into the next slice.
+    files = max(1, min(part.count() for part in parts) // rows_per_file)
+    for part in parts:
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("l1_page_ingest_stream", f"WITH {LISTINGS_SQL} SELECT source_site, run_id, listing_id, first_seen, last_seen, asking_price_sgd, array_to_string(pages_seen, ',') AS pages FROM listings")

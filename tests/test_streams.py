@@ -116,3 +116,19 @@ def test_ingest_goes_on_in_the_same_folder(spark):
     rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
     assert rows(got) == rows(want)
     assert P.StreamTable(spark, "x", P.CHANGES).read().filter(F.lit(True)).collect() == []
+
+
+def test_slices_of_time_are_written_and_read_by_several_tasks(spark):
+    from hearthframe.plans.streams import timed_stream
+    folder, batches = tempfile.mkdtemp(prefix="events-"), []
+    rows = [(i, DAY + dt.timedelta(hours=i), i % 7, "view", float(i), '{"k": 1}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{folder}/events.parquet")
+
+    def take(batch, _):
+        got = batch.select("event_id", "file").collect()
+        batches.append((len({r.file for r in got}), sorted(r.event_id for r in got)))
+    stream = timed_stream(spark, folder, slices=2, rows_per_file=50).withColumn("file", F.input_file_name())
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start().awaitTermination()
+    assert [ids for _, ids in batches] == [list(range(200)), list(range(200, 400))]
+    assert all(files > 1 for files, _ in batches)
