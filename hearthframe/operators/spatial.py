@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthframe import constants as K
 from hearthframe.functions import measures as M
-from hearthframe.session import materialise
+from hearthframe.session import materialise, spread
 
 METRES_PER_DEGREE = math.pi * K.EARTH_DIAMETER_M / 360.0
 # Cell sizes in degrees of the search around a point; what they do not settle goes down the tree of cells.
@@ -170,13 +170,15 @@ def nearest_town(requests: DataFrame, sales: DataFrame) -> DataFrame:
     for i, size in enumerate(TOWN_LEVELS):
         side = _cell(places, size).select(*kind, "cy", "cx", F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "town", "sales")
         dlat, dlon = F.col("t_lat") - F.col("latitude"), F.col("t_lon") - F.col("longitude")
-        order = F.struct(F.col("d2").alias("a"), (-F.col("sales")).alias("b"), F.col("town").alias("c"))
-        found = _around(open_, size).join(side, [*kind, "cy", "cx"]).withColumn("d2", dlat * dlat + dlon * dlon) \
-            .groupBy("request_id").agg(F.min("d2").alias("d2"), F.min_by(F.struct("town", "sales"), order).alias("x"))
-        state = open_.join(found, "request_id", "left")
+        def met(rows: DataFrame) -> DataFrame:
+            return _around(rows, size).join(side, [*kind, "cy", "cx"]).withColumn("d2", dlat * dlat + dlon * dlon)
+        # The smallest distance is a number that tasks combine by hashing; only places at that distance are sorted by sales and name.
+        nearest = met(spread(open_)).groupBy("request_id").agg(F.min("d2").alias("least"))
+        state = materialise(open_.join(nearest, "request_id", "left"), f"town-{i}")
         last = i == len(TOWN_LEVELS) - 1
-        state = state if last else materialise(state, f"town-{i}")
-        done = F.col("x").isNotNull() if last else F.coalesce(F.col("d2") <= size * size, F.lit(False))
-        settled = settled.unionByName(state.filter(done).select("request_id", "x"))
+        done = F.col("least").isNotNull() if last else F.coalesce(F.col("least") <= size * size, F.lit(False))
+        won = met(spread(state.filter(done))).filter(F.col("d2") == F.col("least")).groupBy("request_id").agg(
+            F.min_by(F.struct("town", "sales"), F.struct((-F.col("sales")).alias("a"), F.col("town").alias("b"))).alias("x"))
+        settled = settled.unionByName(state.filter(done).select("request_id").join(won, "request_id"))
         open_ = state.filter(~done).select("request_id", *kind, "latitude", "longitude")
     return settled.select("request_id", F.col("x.town").alias("town"), F.col("x.sales").alias("sales"))
