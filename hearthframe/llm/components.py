@@ -18,20 +18,20 @@ def stars(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("low").alias("v"))).where("u > v").distinct())
 
 
+def flat(edges: DataFrame) -> bool:
+    """Whether every node has one edge (u > v) to a root, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").count() == 0
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of an edge list (u, v); the component is its smallest node.
 
     The edges are written anew after each step, so a lost executor costs one step at most.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    mark = None
-    while True:
-        edges = materialise(edges, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        # Every node has one edge, to the root: the forest is flat and no step changes it.
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-        edges = stars(edges)
+    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    while not flat(edges):
+        edges = materialise(stars(edges), name)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,8 +5,8 @@ image, so `bands * rows / 2` permutations fill `bands` bands of `rows` values. D
 equal sets are one node. A first round tests each member of a bucket (band, values) against the
 bucket's first one, on full sets, and joins components. Nodes of buckets that still hold several
 components go on with their rarest shingles, of which two linked sets must share one: per such
-shingle, round r tests the members numbered 2^r - 1 to 2^(r+1) - 2 against the later ones of other
-components. So copies cost one comparison each, every pair that no chain of links joins is tested
+shingle, round r tests 16^r members, those after the ones of earlier rounds, against the later ones of
+other components. So copies cost one comparison each, every pair that no chain of links joins is tested
 in the end, and no group is paired with itself. With the defaults two sets at the threshold
 share no band with probability (1 - 0.8^5)^40 = 1.2e-7.
 """
@@ -120,12 +120,17 @@ def numbered(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(crowded, keys).withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1)
 
 
+def first_hub(step: int) -> int:
+    """Number of the first member that a round tests against later ones: 0, 1, 17, 273 ... so rounds are few."""
+    return (16 ** step - 1) // 15
+
+
 class Links:
-    """Links found so far, the pairs tested, and the component of each linked node."""
+    """The pairs tested so far, and the component of each linked node."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.links = self.tested = self.labels = None
+        self.tested = self.labels = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -139,12 +144,12 @@ class Links:
         return rows.join(mixed, keys, "left_semi").drop("component")
 
     def test(self, buckets: DataFrame, keys: list[str], step: int) -> None:
-        """Test the members numbered 2^step - 1 to 2^(step + 1) - 2 of each bucket against later ones of other components.
+        """Test the members numbered `first_hub(step)` to `first_hub(step + 1) - 1` of each bucket against later ones of other components.
 
         `place` is a key's place in the common order of a set's shingles. Two sets share no more than their first common one
         and what comes after it in both, so a pair is left out at places too late to reach the overlap it needs.
         """
-        low, high, percent = (1 << step) - 1, (1 << (step + 1)) - 1, self.percent
+        low, high, percent = first_hub(step), first_hub(step + 1), self.percent
         open_ = self.labelled(buckets.where(F.col("members") > low + 1))
         hubs = open_.where((F.col("number") >= low) & (F.col("number") < high)).select(
             *keys, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("number").alias("hub_number"), F.col("component").alias("hub_component"),
@@ -167,8 +172,9 @@ class Links:
         fresh = materialise(found.where(100 * F.col("both") >= percent * union).select("u", "v").distinct(), "minmax-links")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if not fresh.isEmpty():
-            self.links = fresh if self.links is None else self.links.unionByName(fresh)
-            self.labels = components(self.links)
+            # The stars found before stand for all their links.
+            known = fresh if self.labels is None else fresh.unionByName(self.labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            self.labels = components(known)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -192,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             tokens = numbered(materialise(prefixes(sets, rest, percent), "minmax-prefixes"), ["token"])
             tokens = materialise(found.divided(tokens, ["token"]), "minmax-divided")
             largest, step = tokens.agg(F.max("members")).first()[0] or 0, 0
-            while (1 << step) <= largest:
+            while first_hub(step) + 1 < largest:
                 found.test(tokens, ["token"], step)
                 step += 1
         labels = found.labels
