@@ -6,7 +6,8 @@ of a text has one surviving best path: its last piece, and a pointer back. The s
 text once, keeps back pointers only for an open window, and commits ids up to the latest boundary
 that all surviving paths (those of the last `longest` prefixes, which future pieces can start from)
 share. No piece reaches across the front of a run of spaces, so paths always converge there, and
-the ids of a word between two such boundaries are remembered.
+the ids of a word between two such boundaries are remembered, in two generations: when the newer
+one is full it takes the place of the older, whose words are forgotten unless they were seen since.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ WORD = re.compile(" *[^ ]+| +")
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 RUN = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +")
 MIXED = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN} ][{LATIN}]")
-#: Open prefixes after which paths are compared, and words remembered in a task.
+#: Open prefixes after which paths are compared, and words remembered in each of the two generations of a task.
 OPEN, REMEMBERED = 256, 150_000
 #: Rows handed back at once.
 ROWS = 500
@@ -48,6 +49,7 @@ class PieceModel:
     pairs: dict = field(default_factory=dict)
     spines: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
 
     def merged(self, text: str) -> list[str]:
         """Merges of one short text, best score first, then leftmost."""
@@ -116,6 +118,8 @@ class PieceModel:
 
     def segment(self, text: str) -> list[str]:
         """Pieces of one text in which ordinary spaces are already escaped."""
+        if len(text) <= OPEN:
+            return self.segment_short(text)
         committed, base, n = [], 0, len(text)       # committed: pieces of text[:base]
         last, came = {0: ""}, {}                    # of each prefix in the open window: its last piece, and where that starts
         get, pairs, longest = self.prefixes.get, self.pairs, self.longest
@@ -145,6 +149,43 @@ class PieceModel:
             at = came[at]
         return committed + tail[::-1]
 
+    def segment_short(self, text: str) -> list[str]:
+        """The same search over a text whose prefixes all fit the open window."""
+        n = len(text)
+        last, came = [None] * (n + 1), [0] * (n + 1)
+        last[0] = ""
+        get, pairs = self.prefixes.get, self.pairs
+        for at in range(n):
+            left = last[at]
+            near = pairs.get(left)
+            if near is None:
+                near = pairs[left] = {}
+            piece, end = text[at], at + 1
+            if last[end] is None:
+                good = near.get(piece)
+                if good is None:
+                    good = near[piece] = not left or self.apart(left, piece)
+                if good:
+                    last[end], came[end] = piece, at
+            if get(piece) is None:
+                continue
+            for end in range(at + 2, n + 1):
+                piece = text[at:end]
+                found = get(piece)
+                if found is None:
+                    break
+                if found >= 0 and last[end] is None:
+                    good = near.get(piece)
+                    if good is None:
+                        good = near[piece] = not left or self.apart(left, piece)
+                    if good:
+                        last[end], came[end] = piece, at
+        tail, at = [], n
+        while at:
+            tail.append(last[at])
+            at = came[at]
+        return tail[::-1]
+
     def commit(self, last: dict, came: dict, base: int, at: int, committed: list) -> int:
         """Move what all surviving paths share to `committed`; the new start of the open window."""
         common = None
@@ -171,12 +212,19 @@ class PieceModel:
         """Ids of one word with the spaces before it."""
         known = self.words.get(word)
         if known is None:
-            known = []
-            for piece in self.segment(word.replace(" ", SPACE)):
-                at = self.prefixes.get(piece, -1)
-                known += [at] if at >= 0 else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+            known = self.older.get(word)
+            if known is None:
+                known = []
+                for piece in self.segment(word.replace(" ", SPACE)):
+                    at = self.prefixes.get(piece, -1)
+                    if at >= 0:
+                        known.append(at)
+                    else:
+                        known += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
             if len(word) <= 64:
                 if len(self.words) >= REMEMBERED:
+                    self.older.clear()
+                    self.older.update(self.words)
                     self.words.clear()
                 self.words[word] = known
         return known
@@ -192,8 +240,11 @@ class PieceModel:
     def decode(self, ids) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
         out, raw = [], bytearray()
-        base = self.byte_ids[0]
-        for i in ids:
+        base, ids = self.byte_ids[0], np.asarray(ids)
+        if not ((ids >= base + 128) & (ids < base + 256)).any():     # other bytes are letters of their own
+            text = "".join(map(self.texts.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
+        for i in ids.tolist():
             if base <= i < base + 256:
                 raw.append(i - base)
                 continue
@@ -217,7 +268,8 @@ def load_pieces(path: str) -> PieceModel:
     for i in range(size):
         text = model.id_to_piece(i)
         odd = model.is_byte(i) or model.is_control(i) or model.is_unknown(i)
-        texts.append("" if odd else text)
+        byte = int(text[1:-1], 16) if model.is_byte(i) else 256
+        texts.append(chr(byte) if byte < 128 else "" if odd else text)
         if not odd:
             longest = max(longest, len(text))
             for k in range(1, len(text)):
@@ -240,7 +292,7 @@ def encode_pieces(docs: DataFrame, model: PieceModel) -> DataFrame:
             texts = [clear(t) for t in part["text"]]
             ids = [own.encode(t) for t in texts]
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_ids": [len(i) for i in ids], "ids": ids,
-                                "round_trip": [own.decode(i.tolist()) == t for i, t in zip(ids, texts)]})
+                                "round_trip": [own.decode(i) == t for i, t in zip(ids, texts)]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(encoded, f"doc_id {kind}, n_ids long, ids array<int>, round_trip boolean")
