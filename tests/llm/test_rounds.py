@@ -91,3 +91,40 @@ def test_matches_are_not_shuffled_to_be_made_distinct(spark, monkeypatch):
     got = {(r.doc_id, r.n_removed > 0) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, True), (2, True), (3, False), (4, False)}
     assert "Deduplicate" not in plans["suffix-matches"] and "Distinct" not in plans["suffix-matches"]
+
+
+def test_levels_merge_without_being_asked(spark, monkeypatch):
+    """By itself the family gets several batches, more with more text, and its levels merge; results do not depend on that."""
+    passage = "a passage of somewhat more than one hundred bytes that comes back in documents of one batch and of other ones, too"
+    rows = [(k, " ".join([f"w{k * 7919 % 997}x{j}" for j in range(40)] + [passage] * (k % 3 == 0))) for k in range(60)] + [(3, "again " + passage), (70, None)]
+    docs, ranks, matched = spark.createDataFrame(rows, "doc_id long, text string"), [], suffixes.SuffixFamily.matched
+    monkeypatch.setattr(suffixes.SuffixFamily, "matched", lambda family: ranks.append([rank for rank, _ in family.levels]) or matched(family))
+    want = sorted(map(str, suffixes.remove_repeats(docs, batches=1).collect()))
+    assert sorted(map(str, suffixes.remove_repeats(docs).collect())) == want and sum("n_removed=0" in row for row in want) == 42
+    assert ranks == [[1], [4]]
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", sum(len(text or "") for _, text in rows) // 6, raising=False)
+    assert sorted(map(str, suffixes.remove_repeats(docs).collect())) == want
+    assert len(ranks[2]) < sum(ranks[2]) and sum(ranks[2]) >= 6 and ranks[2][0] == 4
+
+
+def test_neighbours_in_an_array_have_seeds_in_order(spark):
+    docs = spark.createDataFrame([(k, f"{'passage ' * 14}{k % 5} {k} {'of words ' * 20}") for k in range(40)], "doc_id long, text string")
+    pieces = suffixes.suffix_arrays(docs, 100, [9.0, 19.0])
+    parts = pieces.rdd.glom().collect()
+    assert sum(map(len, parts)) > 40 and {r.batch for part in parts for r in part} == {0, 1, 2}
+    for part in parts:
+        assert [(r.batch, r.seed) for r in part] == sorted((r.batch, r.seed) for r in part)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)   # seeds go on in the next batch
+    try:
+        whole = suffixes.merged(pieces, "batch").rdd.glom().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [r for part in whole for r in part]
+    found = {}
+    for r in rows:
+        found.setdefault((r.batch, r.seed), []).append(r)
+    assert len(rows) == sum(map(len, parts)) and any(len(v) > 7 for v in found.values())
+    known = {(r.batch, r.seed) for part in parts for r in part if r.met}
+    assert all(sum(r.head for r in v) == 1 and all(r.met == (len(v) > 1 or key in known) for r in v) for key, v in found.items())
+    for part in whole:
+        assert [(r.seed, r.batch) for r in part] == sorted((r.seed, r.batch) for r in part)
