@@ -1,8 +1,10 @@
 """Steps that must not grow with the input in one task, or be worked out anew by every job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hearthframe.operators import models as MO
+from hearthframe.operators import repeat_sales as RS
 from hearthframe.operators import spatial as SP
 
 
@@ -39,3 +41,18 @@ def test_boosting_partitions_hold_a_bounded_number_of_rows(spark, monkeypatch):
     dealt = MO.dealt(spark.range(0, 10_000, 1, 2))
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 10_000 and max(r["count"] for r in sizes) <= 200
+
+
+def test_backtest_works_out_its_pairs_once_and_shuffles_few_changes(spark, monkeypatch):
+    written, write, ways, quantiles = [], RS.materialise, [], RS.O.quantiles
+    monkeypatch.setattr(RS, "materialise", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    monkeypatch.setattr(RS.O, "quantiles", lambda *a, **b: ways.append(b.get("reread", False)) or quantiles(*a, **b))
+    rows = [(k, 1 + 2 * (k % 2), f"f{k}", 100, 110 + k % 7, 100.0 + k, 104.0 + k * k % 31) for k in range(200)]
+    pairs = spark.createDataFrame(rows, "base_id long, horizon_years int, future_id string, base_month int, future_month int, base_price double, future_price double")
+    got = RS.scenario_backtest(pairs, 114)
+    assert written[0] == ("backtest-pairs", ["horizon_years", "base_price", "future_price", "future_month"]) and ways == [True]
+    for r in got.collect():
+        early = np.log([x[6] / x[5] for x in rows if x[1] == r.horizon_years and x[4] < 114])
+        assert r.calibration_pair_count == len(early) and abs(r.median_log_change - np.quantile(early, 0.5)) < 1e-12
+        assert abs(r.upper_log_residual - (np.quantile(early, 0.9) - np.quantile(early, 0.5))) < 1e-12
+    assert got.count() == 2
